@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from costplan import queries_general
 from costplan.session import table
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+QUERIES: dict = dict(queries_general.QUERIES)
+ORACLE: dict = dict(queries_general.ORACLE)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

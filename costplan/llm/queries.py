@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costplan.llm import sketch, splits, topn
+from costplan.llm import leaks, mixing, offence, sketch, splits, topn
 from costplan.session import table
 
 ACCURACY = 0.01
@@ -82,7 +84,72 @@ def p4_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily(spark, sf_dir).select("query_id", "physical_fingerprint", F.col("day").cast("string").alias("day"), "sign", "bucket", F.col("n").alias("n_values"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_ranked, p4_percentiles, p4_daily)}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return leaks.leaks(docs, "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", ["src_text", "tgt_text"], span=10)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text holds ten successive words of a side of a test item."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per leaked test item: documents that hold a passage of either side, and of each side."""
+    side = lambda s: F.countDistinct(F.when(F.col("side") == s, F.col("doc_id")))
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), side("src_text").alias("n_src"), side("tgt_text").alias("n_tgt"))
+
+
+#: A file of the public tokenizers; its folder can be set with COSTPLAN_TOKENIZERS.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    return os.path.join(os.environ.get("COSTPLAN_TOKENIZERS", "/opt/tokenizers"), TOKENIZER)
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "align_score")
+    # Only sources with a target are tokenized; better aligned segments are likelier to be drawn.
+    targets = table(spark, sf_dir, "mix_targets")
+    keys = targets.select(mixing.source_key(F.col("source")).alias("k")).distinct()
+    wanted = docs.join(keys, mixing.source_key(F.col("source")) == F.col("k"), "left_semi")
+    counted = mixing.count_tokens(wanted, "text", tokenizer_path())
+    weight = F.when(F.col("align_score").between(0, 1), 0.5 + F.col("align_score")).otherwise(1.0)
+    return mixing.draw(counted.select("doc_id", "source", "n_tokens", weight.alias("weight")), targets)
+
+
+def p7_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix with the number of times each is used."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each listed source."""
+    return _mix(spark, sf_dir)[1]
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return offence.score(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual language."""
+    return _scored(spark, sf_dir).where("offensive and doc_id is not null").select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document and its parts."""
+    return _scored(spark, sf_dir).drop("text", "source")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of offensive documents per source, spellings of a source taken together."""
+    by = _scored(spark, sf_dir).groupBy(mixing.source_key(F.col("source")).alias("source"))
+    return by.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("offensive").cast("long")).alias("n_offensive"), F.round(F.avg(F.col("offensive").cast("double")), 6).alias("rate"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_ranked, p4_percentiles, p4_daily, p6_found, p6_items, p7_drawn, p7_shares, p8_found, p8_scores, p8_rates)}
 
 _TIES = """
 WITH RECURSIVE r AS (

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costplan import queries_general
+from costplan import queries_general, queries_pool
 from costplan.session import table
 
-QUERIES: dict = dict(queries_general.QUERIES)
-ORACLE: dict = dict(queries_general.ORACLE)
+QUERIES: dict = {**queries_general.QUERIES, **queries_pool.QUERIES}
+ORACLE: dict = {**queries_general.ORACLE, **queries_pool.ORACLE}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

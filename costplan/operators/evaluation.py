@@ -8,17 +8,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from costplan.operators.ordered import running_total
+
 
 def tie_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """df with 0-based ranks of value in its group, ties averaged.
 
-    Ranks come from counts of distinct values and their running sums within cells, so a group's
-    rows never have to meet in one task.
+    Ranks come from counts of distinct values and their running totals, summed within cells of
+    the value's size, so a group's rows never have to meet in one task.
     """
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    # Distinct values of a group are numbered by running counts; cells of the value's size bound the frame's partition.
-    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = counts.select(*keys, value, (upto - F.col("__n") + (F.col("__n") - 1) / 2).alias(name))
+    v = F.col(value).cast("double")
+    cell = F.floor(F.signum(v) * F.log1p(F.abs(v)) * 256)
+    before = running_total(counts, keys, [value], "__n", cell, "__before")
+    placed = before.select(*keys, value, (F.col("__before") + (F.col("__n") - 1) / 2).alias(name))
     return df.join(placed, [*keys, value])
 
 
@@ -34,7 +37,8 @@ def kendall(df: DataFrame, keys: Sequence[str], x: str, y: str, bits: int = 18)
 
     Rows are ranked by y; walking up a binary tree over the ranks of x, every two rows with
     different x meet exactly once, as left and right child of one node. There the pairs in equal
-    or opposite order are counted by a merge of running counts: n log n rows in all.
+    or opposite order are counted by running counts: n log n rows in all. A node is one window
+    partition, so this is meant for groups that fit a task's sort (it spills).
     """
     rows = df.dropna(subset=[x, y]).select(*keys, F.col(x).alias("__x"), F.col(y).alias("__y"))
     own = Window.partitionBy(*keys)
@@ -139,7 +143,7 @@ def wilcoxon(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
     d = F.col(x) - F.col(y)
     tied = F.abs(d) <= 1e-9 * F.greatest(F.abs(F.col(x)), F.abs(F.col(y)))
     rows = pairs.dropna(subset=[x, y]).select(*keys, F.when(tied, 0.0).otherwise(d).alias("__d"))
-    base = rows.groupBy(*keys).agg(F.count_if("__d < 0").alias("wins"), F.count_if("__d > 0").alias("losses"), F.count_if("__d = 0").alias("ties"), F.percentile("__d", F.lit(0.5)).alias("median_diff"))
+    base = rows.groupBy(*keys).agg(F.count_if(F.col("__d") < 0).alias("wins"), F.count_if(F.col("__d") > 0).alias("losses"), F.count_if(F.col("__d") == 0).alias("ties"), F.percentile("__d", F.lit(0.5)).alias("median_diff"))
     live = tie_ranks(rows.where("__d <> 0").withColumn("__a", F.abs("__d")), keys, "__a", "__r").withColumn("__r", F.col("__r") + 1)
     sums = live.groupBy(*keys).agg(F.sum(F.when(F.col("__d") > 0, F.col("__r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("__d") < 0, F.col("__r")).otherwise(0.0)).alias("w_minus"), F.count(F.lit(1)).alias("n"))
     ties = live.groupBy(*keys, "__a").agg(F.count(F.lit(1)).alias("t")).groupBy(*keys).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("__ties"))

@@ -22,3 +22,18 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Col
     rank = F.row_number().over(Window.partitionBy(*keys, "__cell").orderBy(*order))
     ranked = rows.withColumn("__rank", rank).alias("r").join(offsets.alias("o"), same)
     return ranked.select("r.*", (F.col("o.__before") + F.col("r.__rank")).alias(name)).drop("__cell", "__rank")
+
+
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str, cell: Column, name: str) -> DataFrame:
+    """df with the sum of amount over the rows of its group that come before it.
+
+    As numbered(): totals of cells, which must grow with order, and running sums within a cell.
+    """
+    rows = df.withColumn("__cell", cell)
+    totals = rows.groupBy(*keys, "__cell").agg(F.sum(amount).alias("__t"))
+    earlier = F.sum("__t").over(Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select(*keys, "__cell", F.coalesce(earlier, F.lit(0)).alias("__from"))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*keys, "__cell"]]
+    inside = F.coalesce(F.sum(amount).over(Window.partitionBy(*keys, "__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("__in", inside).alias("r").join(offsets.alias("o"), same)
+    return placed.select("r.*", (F.col("o.__from") + F.col("r.__in")).alias(name)).drop("__cell", "__in")

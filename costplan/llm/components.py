@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from costplan.session import drop_written, written
@@ -34,8 +34,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = written(edges.select(F.col("u"), F.col("v")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(max_rounds):
-        new = written(_small_star(_large_star(now)), "edges")
-        state = tuple(new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        seen = Observation()
+        state_of = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        new = written(_small_star(_large_star(now)).observe(seen, *state_of), "edges")
+        state = (seen.get["n"], seen.get["h"])
         drop_written(now)
         now = new
         if state == before:

@@ -24,7 +24,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Plans are compared as their hints ask, so reordering and automatic broadcasts are off while planning.
     """
-    queries_workload.views(spark, sf_dir)
+    queries_workload.views(spark, sf_dir, FLAGSHIP)
     off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.cbo.joinReorder.enabled": "false"}
     with temporary_conf(spark, off):
         plan = Planner(spark).plan(QueryRequest("FLAGSHIP", FLAGSHIP, budget=0.01, deadline=600.0))

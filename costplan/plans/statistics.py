@@ -27,25 +27,40 @@ def _number(value) -> float | None:
 
 
 def plan_statistics(df: DataFrame) -> PlanStatistics:
-    """Walks the optimized plan; sizes outside [0, 1e18] count as unknown. Runs no job."""
+    """Walks the optimized plan; sizes outside [0, 1e18] count as unknown. Runs no job.
+
+    Statistics are asked for only where they count (root, leaves, inputs of joins), as every
+    question is a round trip to the JVM.
+    """
     leaves: list[float] = []
     joined: list[float] = []
     rows: list[float] = []
 
+    def size(node) -> float | None:
+        return _number(node.stats().sizeInBytes())
+
+    def count(node) -> None:
+        if not rows:
+            told = node.stats().rowCount()
+            if told.isDefined() and (n := _number(told.get())) is not None:
+                rows.append(n)
+
     def walk(node) -> None:
-        children = node.children()
-        stats = node.stats()
-        size = _number(stats.sizeInBytes())
-        count = stats.rowCount()
-        if count.isDefined() and (n := _number(count.get())) is not None:
-            rows.append(n)
-        if children.size() == 0 and size is not None:
-            leaves.append(size)
-        for i in range(children.size()):
-            child = children.apply(i)
-            if node.getClass().getSimpleName() == "Join" and (s := _number(child.stats().sizeInBytes())) is not None:
+        below = node.children()
+        n = below.size()
+        if n == 0:
+            if (s := size(node)) is not None:
+                leaves.append(s)
+            count(node)
+            return
+        is_join = n == 2 and node.nodeName() == "Join"
+        for i in range(n):
+            child = below.apply(i)
+            if is_join and (s := size(child)) is not None:
                 joined.append(s)
             walk(child)
 
-    walk(df._jdf.queryExecution().optimizedPlan())
+    root = df._jdf.queryExecution().optimizedPlan()
+    count(root)
+    walk(root)
     return PlanStatistics(sum(leaves) if leaves else None, max(joined, default=None), rows[0] if rows else None)

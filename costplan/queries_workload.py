@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,14 +29,17 @@ def query(sql: str | None = None, name: str | None = None):
     return wrap
 
 
-def views(spark: SparkSession, sf_dir: str) -> None:
+def views(spark: SparkSession, sf_dir: str, sql: str = "") -> None:
+    """Registers the tables that sql names (all without one)."""
+    words = set(re.findall(r"\w+", sql.lower()))
     for t in TABLES:
-        table(spark, sf_dir, t).createOrReplaceTempView(t)
+        if not sql or t in words:
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
 
 
 def run_sql(sql: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        views(spark, sf_dir)
+        views(spark, sf_dir, sql)
         return spark.sql(sql)
 
     return run
@@ -156,7 +161,7 @@ def _equivalent(sql: str, mode: str, width: int):
     """Runs every variant and keeps the distinct rows: one result if the rewrites are right."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        views(spark, sf_dir)
+        views(spark, sf_dir, sql)
         found = alternatives.variants(shape(spark, sql), mode, width)
         results = [spark.sql(v.sql) for v in found if v.order is not None or v.label == "default"][:: 1 if mode == "beam" else 2]
         out = results[0]

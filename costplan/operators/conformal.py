@@ -99,7 +99,7 @@ def coverage(pool: DataFrame, q: DataFrame) -> DataFrame:
     )).alias("r")).select("r.*")
     held = long.join(F.broadcast(q.select("metric", "delta", "multiplier")), "metric")
     inside = (F.col("a") <= F.col("p") * F.col("multiplier")).cast("double")
-    return held.groupBy("metric", "delta").agg(F.count(F.lit(1)).alias("n"), F.avg(inside).alias("coverage"), F.avg(1 - inside).alias("violation_rate"), F.avg((F.col("p") * F.col("multiplier") - F.col("a")) / F.col("a")).alias("mean_margin"))
+    return held.groupBy("metric", "delta").agg(F.count(F.lit(1)).alias("n"), F.avg(inside).alias("coverage"), F.avg(1 - inside).alias("violation_rate"), F.avg(F.try_divide(F.col("p") * F.col("multiplier") - F.col("a"), F.col("a"))).alias("mean_margin"))
 
 
 def query_split(df: DataFrame, shares: Sequence[tuple[str, float]], seed: str = "0") -> DataFrame:

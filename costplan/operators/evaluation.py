@@ -29,7 +29,9 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """(keys, n, rho): correlation of tie-averaged ranks, 0 for fewer than two rows or no variance."""
     rows = df.dropna(subset=[x, y]).select(*keys, F.col(x).alias("__x"), F.col(y).alias("__y"))
     both = tie_ranks(tie_ranks(rows, keys, "__x", "__rx"), keys, "__y", "__ry")
-    return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("__rx", "__ry").alias("r")).select(*keys, "n", F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)).alias("rho"))
+    sums = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("__rx", "__ry").alias("c"), (F.stddev_pop("__rx") * F.stddev_pop("__ry")).alias("s"))
+    # corr() itself fails on a group without variance.
+    return sums.select(*keys, "n", F.when(F.col("s") > 0, F.col("c") / F.col("s")).otherwise(0.0).alias("rho"))
 
 
 def kendall(df: DataFrame, keys: Sequence[str], x: str, y: str, bits: int = 18) -> DataFrame:
@@ -87,7 +89,7 @@ def outcomes(pool: DataFrame, multipliers: Sequence[float], choices) -> DataFram
     joined = out.join(oracle, ["query_id", "multiplier"], "left")
     return joined.select(
         "query_id", "multiplier", "strategy_name", "plan_id", F.col("actual_cost").alias("cost"), F.col("actual_latency").alias("latency"), (F.col("actual_cost") > F.col("budget")).alias("violated"),
-        (F.col("actual_latency") / F.col("best") - 1).alias("regret"), (F.col("reference") / F.col("actual_latency")).alias("speedup"),
+        (F.try_divide("actual_latency", "best") - 1).alias("regret"), F.try_divide("reference", "actual_latency").alias("speedup"),
     )
 
 

@@ -16,4 +16,4 @@ def policy_summary(runs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg((F.col("cost") <= F.col("budget")).cast("double")).alias("within_rate"), F.percentile("cost", F.lit(0.5)).alias("median_cost"), F.max("cost").alias("max_cost"), *extra
     )
     strict = by.where("policy = 'strict'").select("scenario", F.col("median_cost").alias("strict_median"))
-    return by.join(strict, "scenario", "left").withColumn("ratio_to_strict", F.col("median_cost") / F.col("strict_median")).drop("strict_median")
+    return by.join(strict, "scenario", "left").withColumn("ratio_to_strict", F.try_divide("median_cost", "strict_median")).drop("strict_median")

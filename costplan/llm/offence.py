@@ -40,9 +40,10 @@ class Matcher:
 
         self.phrases = entries()
         self.vocabulary = {w for p in self.phrases for w in p.split() if len(w) > 2}
-        single = {p for p in self.phrases if " " not in p} | {w for p in self.phrases for w in p.split() if len(w) > 3}
+        # For words with stars: those that are entries themselves come before parts of phrases.
+        alone = {p: -w for p, (_, w) in self.phrases.items() if " " not in p}
         self.by_length: dict[int, list[str]] = defaultdict(list)
-        for w in sorted(single):
+        for w in sorted(alone.keys() | {w for w in self.vocabulary if len(w) > 3}, key=lambda w: (alone.get(w, 0.0), w)):
             self.by_length[len(w)].append(w)
         self.squeezed = {}
         for w in sorted(self.vocabulary, reverse=True):

@@ -80,7 +80,7 @@ def _scan(id_type, k: int, w: int, span: int, wanted: np.ndarray | None):
                     out["hash"].append(v)
                     out["before"].append(tokens[max(0, p - span + k) : p])
                     out["after"].append(tokens[p : p + span])
-            yield pd.DataFrame(out)
+            yield pd.DataFrame(out).astype({"side": object})
 
     return work
 

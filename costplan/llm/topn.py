@@ -73,6 +73,8 @@ def best_of_file(path: str, n: int) -> tuple[pd.DataFrame, int, int]:
                     seen[i] = (s, i)
             best[g] = sorted(seen.values())[:n]
     rows = pd.concat(parts) if parts else pd.DataFrame({"g": [], "score": [], "item": [], "row_id": []})
+    # Joined Arrow-backed strings come in chunks, which Spark doesn't take.
+    rows = rows.astype({c: object for c in rows.columns if not pd.api.types.is_numeric_dtype(rows[c])})
     return rows, read, len(found) - read
 
 

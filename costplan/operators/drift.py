@@ -66,7 +66,7 @@ def read_headers(spark: SparkSession, files: Sequence[str]) -> DataFrame:
             for path in batch["file"]:
                 system, inner = fs.FileSystem.from_uri(path)
                 schema = pq.read_schema(system.open_input_file(inner))
-                yield pd.DataFrame([(path, i, f.name, kind(f.type)) for i, f in enumerate(schema)], columns=["file", "position", "field", "kind"])
+                yield pd.DataFrame([(path, i, f.name, kind(f.type)) for i, f in enumerate(schema)], columns=["file", "position", "field", "kind"]).astype({"file": object, "field": object, "kind": object})
 
     listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, min(len(files), 10_000)))
     return listed.mapInPandas(scan, "file string, position int, field string, kind string")

@@ -72,7 +72,7 @@ def best_of_file(path: str, n: int) -> tuple[pd.DataFrame, int, int]:
                 if i not in seen or s < seen[i][0]:
                     seen[i] = (s, i)
             best[g] = sorted(seen.values())[:n]
-    rows = pd.concat(parts) if parts else pd.DataFrame({"g": [], "score": [], "item": [], "row_id": []})
+    rows = pd.concat(parts) if parts else pd.DataFrame({"g": [], "score": [], "item": [], "row_id": []}, dtype=object)
     # Joined Arrow-backed strings come in chunks, which Spark doesn't take.
     rows = rows.astype({c: object for c in rows.columns if not pd.api.types.is_numeric_dtype(rows[c])})
     return rows, read, len(found) - read
@@ -98,7 +98,9 @@ def top_n(df: DataFrame, group: Sequence[str], item: str, score: Column, row_id:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for p in batch["path"]:
-                yield best_of_file(p, n)[0]
+                rows = best_of_file(p, n)[0]
+                if len(rows):
+                    yield rows
 
     listed = spark.createDataFrame([(f,) for f in files], "path string").repartition(len(files))
     kept = listed.mapInPandas(scan, stored.schema)

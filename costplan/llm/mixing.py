@@ -9,6 +9,7 @@ order (Pareto sampling, a fixed-size design) until the quota of tokens is met.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,18 +27,22 @@ def source_key(c: Column) -> Column:
 def count_tokens(df: DataFrame, text: str, file: str, name: str = "n_tokens") -> DataFrame:
     """df with the number of tokens of a tokenizers file; 0 for null and empty texts.
 
-    The tokenizer is loaded once per Python worker from the path given; texts are encoded whole.
+    The tokenizer is loaded once per Python worker from the path given; texts are encoded whole,
+    a few at a time, as an encoding takes many times the memory of its text.
     """
 
     @F.pandas_udf("long")
     def tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(file)
         t.encode_special_tokens = True
         for s in parts:
-            encoded = t.encode_batch_fast([x if isinstance(x, str) else "" for x in s], add_special_tokens=False)
-            yield pd.Series([len(e) for e in encoded], dtype="int64")
+            n = []
+            for k in range(0, len(s), 128):
+                n += [len(e) for e in t.encode_batch_fast([x if isinstance(x, str) else "" for x in s.iloc[k : k + 128]], add_special_tokens=False)]
+            yield pd.Series(n, dtype="int64")
 
     return df.withColumn(name, tokens(F.col(text)))
 

@@ -75,6 +75,16 @@ def samples(predictions: DataFrame, telemetry: DataFrame) -> DataFrame:
     return predictions.join(measured, ["query_id", "plan_id"])
 
 
+def validated(predictions: DataFrame, telemetry: DataFrame) -> DataFrame:
+    """samples() with absolute and relative errors of cost and latency; relative ones are null where nothing was spent."""
+    both = samples(predictions, telemetry)
+    out = {}
+    for m in ("cost", "latency"):
+        d = F.abs(F.col(f"pred_{m}") - F.col(f"actual_{m}"))
+        out |= {f"{m}_error": d, f"{m}_relative": F.try_divide(d, F.abs(F.col(f"actual_{m}")))}
+    return both.withColumns(out)
+
+
 def folds(df: DataFrame, k: int, seed: str = "") -> DataFrame:
     """df with fold 1..k; whole queries, dealt evenly in the order of an md5 of the query."""
     queries = df.select("query_id").distinct().withColumn("h", F.md5(F.concat(F.lit(seed), F.col("query_id").cast("string"))))
@@ -124,6 +134,12 @@ def holdout(df: DataFrame, test_share: float = 0.3, seed: str = "0") -> Holdout:
     return Holdout(n["train"], n["test"], w, raw, fitted)
 
 
+def report(h: Holdout) -> str:
+    """The comparison as a Markdown table."""
+    line = lambda n, e: f"| {n} | {e['n']} | {e['mae']:.6g} | {e['rmse']:.6g} | {e['mape']:.2f} % |"
+    return "\n".join(["| model | n | MAE | RMSE | MAPE |", "| --- | ---: | ---: | ---: | ---: |", line("raw", h.raw), line("calibrated", h.fitted), "", f"{h.n_train} rows fitted, {h.n_test} held out; weights {', '.join(f'{w:.6g}' for w in h.weights)}"])
+
+
 def save_model(folder: str, name: str, model: dict) -> str:
     """Writes an immutable timestamped version and notes it in manifest.jsonl; returns its path."""
     os.makedirs(folder, exist_ok=True)

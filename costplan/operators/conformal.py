@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costplan.operators.ordered import numbered
+from costplan.session import written
 
 EPS = 1e-9
 CELLS = 4096
@@ -35,7 +36,7 @@ def residuals(pool: DataFrame, signed: bool = False, eps: float = EPS) -> DataFr
 
 def positions(scores: DataFrame) -> DataFrame:
     """scores with each row's position among its metric's scores; ties by query and plan."""
-    return numbered(scores, ["metric"], ["score", "query_id", "plan_id"], F.floor(F.col("score") * CELLS), "position")
+    return written(numbered(scores, ["metric"], ["score", "query_id", "plan_id"], F.floor(F.col("score") * CELLS), "position"), "positions")
 
 
 def quantiles(scores: DataFrame, deltas: Sequence[float], beyond: str = "infinity") -> DataFrame:

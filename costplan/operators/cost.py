@@ -67,6 +67,29 @@ def cluster_cost(executor_seconds: Column, compute_per_hour: Column, service_per
     return executor_seconds * (compute_per_hour + service_per_hour) / vcpus / F.lit(3600.0)
 
 
+@dataclass(frozen=True)
+class CloudProfile:
+    """A provider's instance: cores and hourly prices."""
+
+    provider: str
+    instance: str
+    vcpus: int
+    compute_per_hour: float
+    service_per_hour: float = 0.0
+
+    def cost(self, executor_seconds: float) -> float:
+        return executor_seconds * (self.compute_per_hour + self.service_per_hour) / self.vcpus / 3600
+
+
+def load_cloud_profile(path: str, name: str) -> CloudProfile:
+    """A profile by name from a JSON file {name: {provider, instance, vcpus, compute_per_hour, service_per_hour}}."""
+    with open(path) as f:
+        told = json.load(f)
+    if name not in told:
+        raise KeyError(name)
+    return CloudProfile(**{k: told[name][k] for k in CloudProfile.__dataclass_fields__ if k in told[name]})
+
+
 @dataclass(frozen=True)
 class Priors:
     """Structural priors of the predictor, fixed values."""

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costplan.operators.ordered import running_total
+from costplan.session import written
 
 
 def tie_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
@@ -76,6 +77,7 @@ def outcomes(pool: DataFrame, multipliers: Sequence[float], choices) -> DataFram
     gives (query_id, strategy_name, plan_id). regret is latency over the oracle's less one; speedup
     is against the plan of least predicted cost.
     """
+    pool = written(pool, "pool")  # every multiplier reads it
     least = pool.groupBy("query_id").agg(F.min("actual_cost").alias("least"), F.min(F.struct("pred_cost", "plan_id", "actual_latency"))["actual_latency"].alias("reference"))
     parts = []
     for m in multipliers:
@@ -85,6 +87,7 @@ def outcomes(pool: DataFrame, multipliers: Sequence[float], choices) -> DataFram
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    out = written(out, "outcomes")
     oracle = out.where("strategy_name = 'oracle'").select("query_id", "multiplier", F.col("actual_latency").alias("best"))
     joined = out.join(oracle, ["query_id", "multiplier"], "left")
     return joined.select(

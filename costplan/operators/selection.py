@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from costplan.operators import frontier
 from costplan.operators.ordered import numbered
+from costplan.session import written
 
 REASONS = ("PASSED", "BUDGET_EXCEEDED", "DEADLINE_EXCEEDED", "BOTH_EXCEEDED", "NO_METRICS")
 
@@ -143,6 +144,7 @@ def select(pool: DataFrame, a: Ablation = ABLATIONS[0], keep: Sequence[str] = ("
 
 def ablation_grid(pool: DataFrame, ablations: Sequence[Ablation] = ABLATIONS) -> DataFrame:
     """The chosen plan of each query under each configuration."""
+    pool = written(pool, "pool")  # every configuration reads it
     parts = [select(pool, a).withColumn("variant", F.lit(a.name)) for a in ablations]
     out = parts[0]
     for p in parts[1:]:

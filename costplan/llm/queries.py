@@ -76,7 +76,7 @@ def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median, p90, p95 and p99 within 1 % of each query and plan, from the days' sketches."""
     keys = ["query_id", "physical_fingerprint"]
     found = sketch.percentiles(sketch.merge(_daily(spark, sf_dir), keys), keys, SHARES, ACCURACY)
-    return found.select(*keys, "n_values", *(F.round(k, 6).alias(k) for k in SHARES), F.lit(ACCURACY).alias("relative_error"))
+    return found.select(*keys, "n_values", *(F.round(k, 9).alias(k) for k in SHARES), F.lit(ACCURACY).alias("relative_error"))
 
 
 def p4_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,8 +197,8 @@ ORACLE = {
 v AS (SELECT *, CASE WHEN sign = 0 THEN 0.0::DOUBLE WHEN bucket = 2147483647 THEN sign * 'infinity'::DOUBLE ELSE sign * (2 / (1.01::DOUBLE / 0.99::DOUBLE + 1)) * pow(1.01::DOUBLE / 0.99::DOUBLE, bucket) END AS x FROM b),
 c AS (SELECT *, sum(n) OVER (PARTITION BY query_id, physical_fingerprint ORDER BY x) AS upto, sum(n) OVER (PARTITION BY query_id, physical_fingerprint) AS total FROM v)
 SELECT query_id, physical_fingerprint, CAST(max(total) AS BIGINT) AS n_values,
-  round(min(x) FILTER (upto > floor(0.5::DOUBLE * (total - 1))), 6) AS p50, round(min(x) FILTER (upto > floor(0.9::DOUBLE * (total - 1))), 6) AS p90,
-  round(min(x) FILTER (upto > floor(0.95::DOUBLE * (total - 1))), 6) AS p95, round(min(x) FILTER (upto > floor(0.99::DOUBLE * (total - 1))), 6) AS p99,
+  round(min(x) FILTER (upto > floor(0.5::DOUBLE * (total - 1))), 9) AS p50, round(min(x) FILTER (upto > floor(0.9::DOUBLE * (total - 1))), 9) AS p90,
+  round(min(x) FILTER (upto > floor(0.95::DOUBLE * (total - 1))), 9) AS p95, round(min(x) FILTER (upto > floor(0.99::DOUBLE * (total - 1))), 9) AS p99,
   0.01::DOUBLE AS relative_error
 FROM c GROUP BY query_id, physical_fingerprint""",
 }

@@ -29,15 +29,16 @@ def canonical_plan(c: Column) -> Column:
     return F.regexp_replace(canonical_query(c), r"(?<=\d\p{L})0+(?=\d)", "")
 
 
-def allocate(bundles: Sequence[tuple[int, str, int]], shares: dict[str, float], label_weight: float = 0.25, max_rounds: int = 5000) -> np.ndarray:
+def allocate(bundles: Sequence[tuple[int, str, int]], shares: dict[str, float], label_weight: float = 0.25, max_rounds: int = 400) -> np.ndarray:
     """How many components of each bundle (size, profile, components) go to each split.
 
     A flow of components from bundles to splits. Its cost is the sum of the splits' deviations
     from their quotas in rows, plus label_weight times the deviations within each profile. The
     fractional optimum gives each split its share of every bundle; it is rounded down, the
     remaining components go, larger ones first, where they cost least, and negative cycles of the
-    residual network (move one component; exchange two) are cancelled until none is left. Shares
-    need not sum to 1. Ties go to the earlier split by name.
+    residual network (move one component; exchange two) are cancelled, the best first, until none
+    is left or max_rounds are done (by then only the balance of labels still gains). Shares need
+    not sum to 1. Ties go to the earlier split by name.
     """
     names = sorted(shares)
     quota = np.array([float(shares[k]) for k in names])

@@ -191,14 +191,18 @@ def tail_cutoffs(judged: DataFrame, fold: float, scatters: float, risk: float, b
 
     # The neighbours' median is itself uncertain: the residual's variance is larger by (pi / 2) / (2 * SIDE).
     usual = 1.4826 / math.sqrt(1 + math.pi / 2 / (2 * SIDE))
-    quant = at.groupBy("source").agg(F.max("all").alias("n_residuals"), (quantile(0.5) * usual).alias("scatter"), quantile(0.9).alias("u"))
+    quant = at.groupBy("source").agg(F.max("all").alias("n_residuals"), (quantile(0.5) * usual).alias("scatter"))
     quant = quant.withColumn("rule_cutoff", F.greatest(F.lit(math.log(fold)), scatters * F.col("scatter")))
+    # The threshold too is that of the usual residuals, else a source with many spikes hides them.
+    tame = at.join(quant.select("source", "rule_cutoff"), "source").where(F.col("mid") < F.col("rule_cutoff")).withColumns({"upto": upto, "all": F.sum("n").over(own)})
+    quant = quant.join(tame.groupBy("source").agg(F.max("all").alias("n_tame"), quantile(0.9).alias("u")), "source", "left")
     y = F.col("mid") - F.col("u")
-    beyond = at.join(quant, "source").where((y > 0) & (F.col("mid") < F.col("rule_cutoff")))
+    beyond = tame.join(quant.select("source", "u"), "source").where(y > 0)
     fit = beyond.groupBy("source").agg(F.sum("n").alias("k"), (F.sum(y * F.col("n")) / F.sum("n")).alias("m"), (F.sum(y * y * F.col("n")) / F.sum("n")).alias("m2"))
     ratio = F.col("m") * F.col("m") / F.greatest(F.col("m2") - F.col("m") * F.col("m"), F.lit(1e-12))
-    xi, sigma = F.greatest(0.5 * (1 - ratio), F.lit(-0.5)), 0.5 * F.col("m") * (ratio + 1)
-    odds = F.lit(risk) * F.col("n_residuals") / F.col("k")
+    xi = F.greatest(0.5 * (1 - ratio), F.lit(-0.5))
+    sigma = F.col("m") * (1 - xi)  # keeps the mean excess where xi is held at its bound
+    odds = F.lit(risk) * F.col("n_tame") / F.col("k")
     pot = F.col("u") + F.when(F.abs(xi) < 1e-6, -sigma * F.log(odds)).otherwise(sigma / xi * (F.pow(odds, -xi) - 1))
     return quant.join(fit, "source", "left").select("source", "n_residuals", "scatter", F.greatest(F.coalesce(pot, "u"), F.col("u")).alias("pot_cutoff"), "rule_cutoff")
 
@@ -216,5 +220,7 @@ def implausible(df: DataFrame, source: str, time: str, value: str, row_id: str,
     named = judged.where(F.col("impossible") | F.col("stuck")).select("row_id", "source", F.when(F.col("impossible"), "impossible").otherwise("stuck").alias("reason"))
     cut = tail_cutoffs(judged, fold * fold_slack, scatters * slack, risk)
     far = judged.where(~F.col("impossible") & ~F.col("stuck") & (F.abs("excursion") >= floor))
-    spikes = far.join(cut, "source", "left").where((F.abs("excursion") >= F.coalesce("rule_cutoff", F.lit(floor))) & (F.abs("excursion") >= F.least(F.coalesce("pot_cutoff", F.lit(floor)), F.coalesce("rule_cutoff", F.lit(floor)))))
+    beyond = lambda c: F.abs("excursion") >= F.coalesce(c, F.lit(floor))
+    candidates = far.join(cut, "source", "left").where(beyond("pot_cutoff"))
+    spikes = candidates.where(beyond("rule_cutoff"))
     return named.unionByName(spikes.select("row_id", "source", F.lit("spike").alias("reason")))

@@ -184,6 +184,27 @@ def test_repeats_nulls_short_and_empty(spark):
     assert _flags(_readings(spark, [1.0])) == set()
 
 
+def test_tail_cutoff_decides(spark):
+    """Of a plan with a heavy tail a reading that passes the rule alone is no spike; of a calm plan it is."""
+    rng = np.random.default_rng(5)
+    calm = _series(rng, 480, scatter=0.005)
+    heavy = calm.copy()
+    heavy[6::12] *= np.exp(rng.uniform(0.2, 0.42, 40))
+    for x in (calm, heavy):
+        x[240], x[360] = 5.1, 9.0
+    assert _flags(_readings(spark, calm)) == {(240, "spike"), (360, "spike")}
+    assert _flags(_readings(spark, heavy)) == {(360, "spike")}
+
+
+def test_many_spikes_do_not_hide_each_other(spark):
+    """The threshold of the fit is that of the usual readings: here 3 of 16 are spikes."""
+    x = _series(np.random.default_rng(6), 16, scatter=0.01)
+    x[7:10] *= 2.0
+    cut = spikes.tail_cutoffs(spikes.judged_readings(_readings(spark, x), "plan", "t", "v", "id"), 1.55, 6.4, 1e-4).first()
+    assert cut["pot_cutoff"] < cut["rule_cutoff"]
+    assert _flags(_readings(spark, x)) == {(i, "spike") for i in (7, 8, 9)}
+
+
 def test_chunked_hot_source_equals_whole(spark):
     rng = np.random.default_rng(7)
     x = _series(rng, 3000)

@@ -270,12 +270,54 @@ def cast_lines(lines: DataFrame, schema: Mapping[str, str], names: Mapping[str,
     return rows.select(*kept, *[x.alias(c) for c, x in cast.items()], F.when(F.size(strays) > 0, strays).alias("strays"))
 
 
+def unit_steps(rows: DataFrame, fields: Sequence[str], record: str = "run_id") -> DataFrame:
+    """(feed, field, written_at, file_id, step): fields whose values in repeated records are `step` times those of the file before.
+
+    rows has feed, written_at, file_id, line_no, record and fields (numbers). As for renames, at
+    least two records with distinct values must agree on the unit, and none may contradict.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in fields])).alias("e")
+    long = rows.where(F.col(record).isNotNull()).select("feed", "written_at", "file_id", "line_no", F.col(record).alias("record"), pairs).where("e.v is not null")
+    cells = long.groupBy("feed", "record", "e.field", "written_at", "file_id").agg(F.max_by("e.v", "line_no").alias("v"))
+    w = Window.partitionBy("feed", "record", "field").orderBy("written_at", "file_id")
+    ratio = F.when((F.col("v") > 0) & (F.col("then") > 0), F.col("v") / F.col("then"))
+    units = [x for u in UNITS for x in (u, 1 / u)]
+    near = F.array_min(F.array(*[F.struct(F.abs(ratio / u - 1).alias("off"), F.lit(u).alias("u")) for u in units]))
+    step = F.when(near["off"] < 0.05, near["u"]).when((ratio > 0) | (F.col("v") != F.col("then")), 1.0)
+    both = cells.withColumn("then", F.lag("v").over(w)).where("then is not null").withColumn("step", step).where("step is not null")
+    found = both.groupBy("feed", "field", "written_at", "file_id").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("then").alias("n_distinct"), F.min("step").alias("step"), F.max("step").alias("most"))
+    return found.where("n >= 2 and n_distinct >= 2 and step = most and step <> 1").select("feed", "field", "written_at", "file_id", "step")
+
+
+def in_one_unit(rows: DataFrame, steps: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """rows with fields in the unit of their feed's first file; a step holds for its file and all later ones."""
+    at = lambda a: F.struct(F.col(f"{a}.written_at").alias("w"), F.col(f"{a}.file_id").alias("f"))
+    files = rows.select("feed", "written_at", "file_id").distinct()
+    after = files.alias("f").join(steps.alias("s"), F.col("f.feed").eqNullSafe(F.col("s.feed")) & (at("s") <= at("f")))
+    factors = after.groupBy("f.file_id", "s.field").agg(F.product("step").alias("factor"))
+    by_file = factors.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "factor"))).alias("__factors"))
+    return rows.join(by_file, "file_id", "left").withColumns({c: F.col(c) / F.coalesce(F.col("__factors")[c], F.lit(1.0)) for c in fields}).drop("__factors")
+
+
+def latest(rows: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """One row per keys: each field's value written last, nulls aside, and all strays, of a field the one written last."""
+    order = F.struct("written_at", "file_id", "line_no")
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in fields if c not in keys]
+    listed = F.sort_array(F.collect_list(F.when(F.col("strays").isNotNull(), F.struct("written_at", "file_id", "line_no", F.map_entries("strays").alias("s")))))
+    none = F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>"))
+    merged = F.aggregate(listed, none, lambda a, x: F.map_zip_with(a, F.map_from_entries(x["s"]), lambda _, old, new: F.coalesce(new, old)))
+    return rows.groupBy(*keys).agg(*last, merged.alias("strays")).withColumn("strays", F.when(F.size("strays") > 0, F.col("strays")))
+
+
 def cast_table(df: DataFrame, schema: Mapping[str, str], names: Mapping[str, Sequence[str]]) -> DataFrame:
-    """df's columns as schema; fields it lacks are null. Casting to a wider kind loses nothing."""
-    out = []
+    """df's columns as schema; fields it lacks are null. Casting to a wider kind loses nothing; texts not of the field's kind go to strays."""
+    out, strays = [], []
     for c, kind in schema.items():
         found = [F.col(f"`{n}`") for n in names.get(c, [c]) if n in df.columns]
         text_to = kind != "text" and found and dict(df.dtypes)[next(n for n in names.get(c, [c]) if n in df.columns)] == "string"
         x = F.coalesce(*found) if found else F.lit(None)
         out.append((to_kind(x, kind) if text_to else x.cast(SPARK_TYPE[kind])).alias(c))
-    return df.select(*out)
+        if text_to:
+            strays.append(F.when(x.isNotNull() & to_kind(x, kind).isNull(), F.struct(F.lit(c).alias("k"), x.cast("string").alias("v"))))
+    kept = F.map_from_entries(F.array_compact(F.array(*strays))) if strays else F.lit(None).cast("map<string,string>")
+    return df.select(*out, F.when(F.size(kept) > 0, kept).alias("strays"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costplan.operators import drift, spikes
-from costplan.session import table
+from costplan.session import table, written
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,8 @@ def p3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads, planning_runs and prescoring_all_runs as one consistent table, a row per run.
 
     Runs are told apart by origin (table, or feed) and run_id; of a run that several files
-    repeat, the line written last counts. Redelivered rows count once.
+    repeat, each field has its value written last. Numbers are in the unit of their feed's first
+    file, as told by repeated records. Redelivered rows count once.
     """
     lines = _lines(spark, sf_dir).distinct()
     log = drift.changes(lines)
@@ -54,19 +55,21 @@ def p3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     for field, kind in [*((r["field"], r["kind"]) for r in header), *fields]:
         kinds.setdefault(names.get(field, field), []).append(kind)
     # Times are texts in some files and times in others: all are ISO, so they are read as times.
-    schema = {c: "timestamp" if "timestamp" in k and set(k) <= {"timestamp", "text"} else drift.fold(k) for c, k in sorted(kinds.items()) if c != "received_at"}
+    schema = {c: "timestamp" if "timestamp" in k and set(k) <= {"timestamp", "text"} else drift.fold(k) for c, k in sorted(kinds.items())}
     spelled: dict[str, list[str]] = {c: [c] for c in schema}
     for name, c in names.items():
         if c in spelled and name != c:
             spelled[c].append(name)
-    parts = []
-    for name, df in tables.items():
-        parts.append(drift.cast_table(df.distinct(), schema, spelled).withColumns({"origin": F.lit(name), "strays": F.lit(None).cast("map<string,string>")}))
-    body = drift.cast_lines(lines, schema, spelled)
+    numbers = [c for c, k in schema.items() if k in ("integer", "decimal") and c != "run_id"]
+    steps = written(drift.unit_steps(drift.cast_lines(lines, schema, spelled), numbers), "units")
+    converted = [r["field"] for r in steps.select("field").distinct().collect()]
+    schema |= {c: "decimal" for c in converted}
+    parts = [drift.cast_table(df.distinct(), schema, spelled).withColumn("origin", F.lit(name)) for name, df in tables.items()]
+    body = drift.in_one_unit(drift.cast_lines(lines, schema, spelled), steps, converted)
     columns = [*schema, "strays"]
-    latest = F.max_by(F.struct(*columns), F.struct("written_at", "file_id", "line_no")).alias("r")
-    own = body.where("run_id is not null").groupBy("feed", "run_id").agg(latest).select("r.*", F.concat(F.lit("planning_files:"), F.coalesce("feed", F.lit(""))).alias("origin"))
-    rest = body.where("run_id is null").select(*columns, F.concat(F.lit("planning_files:"), F.coalesce("feed", F.lit(""))).alias("origin"))
+    origin = F.concat(F.lit("planning_files:"), F.coalesce("feed", F.lit(""))).alias("origin")
+    own = drift.latest(body.where("run_id is not null"), ["feed", "run_id"], [*schema]).select(*columns, origin)
+    rest = body.where("run_id is null").select(*columns, origin)
     result = parts[0].unionByName(parts[1]).unionByName(own).unionByName(rest)
     return result.withColumn("strays", F.to_json("strays")).select("origin", *columns)
 

@@ -136,6 +136,21 @@ def test_cast_keeps_strays(spark):
     assert [(r["a"], r["b"]) for r in got] == [(None, 2.0), (3, 1.5)] and got[0]["strays"] == {"a": "x"} and got[1]["strays"] is None
 
 
+def test_union_converts_units_and_keeps_earlier_values(spark):
+    files = [(1, 1, [{"run_id": "a", "s": 1.5, "x": 1}, {"run_id": "b", "s": 2.5, "x": "?"}]), (2, 2, [{"run_id": "a", "s": 1500}, {"run_id": "b", "s": 2501}, {"run_id": "c", "s": 4000}]), (3, 3, [{"run_id": "d", "s": 8000}])]
+    rows = drift.cast_lines(_lines(spark, files), {"run_id": "text", "s": "decimal", "x": "integer"}, {})
+    steps = drift.unit_steps(rows, ["s", "x"])
+    assert [(r["field"], r["file_id"], r["step"]) for r in steps.collect()] == [("s", 2, 1000.0)]
+    got = drift.latest(drift.in_one_unit(rows, steps, ["s"]), ["feed", "run_id"], ["run_id", "s", "x"]).orderBy("run_id").collect()
+    assert [(r["run_id"], r["s"], r["x"], r["strays"]) for r in got] == [("a", 1.5, 1, None), ("b", 2.501, None, {"x": "?"}), ("c", 4.0, None, None), ("d", 8.0, None, None)]
+
+
+def test_tables_keep_strays_and_received_at(spark, sf):
+    got = drift.cast_table(spark.createDataFrame([("7",), ("x",)], "a string"), {"a": "integer"}, {}).collect()
+    assert [(r["a"], r["strays"]) for r in got] == [(7, None), (None, {"a": "x"})]
+    assert QUERIES["p3_runs"](spark, sf).where("received_at is not null").count() > 0
+
+
 # Readings -----------------------------------------------------------------------------------------------
 
 

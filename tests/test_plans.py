@@ -118,3 +118,20 @@ def test_plan_statistics(spark, sf):
     df = spark.read.parquet(f"{sf}/orders.parquet").crossJoin(spark.read.parquet(f"{sf}/customer.parquet"))
     s = plan_statistics(df)
     assert s.input_bytes > 0 and s.intermediate_bytes > 0
+
+
+def test_equivalence_queries_run_every_variant(spark, sf, monkeypatch):
+    from costplan import queries_workload as q
+    from costplan.plans import alternatives
+    from costplan.plans.shape import shape
+
+    for name, sql, mode, width in (("join_order_equivalence", q._FOUR, "exhaustive", 0), ("beam_variants_equivalence", q._SIX, "beam", 3)):
+        q.views(spark, sf, sql)
+        want = [v.sql for v in alternatives.variants(shape(spark, sql), mode, width)]
+        run, real = [], type(spark).sql
+        with monkeypatch.context() as m:
+            m.setattr(type(spark), "sql", lambda self, text, *a, **k: (run.append(text), real(self, text, *a, **k))[1])
+            df = q.QUERIES[name](spark, sf)
+        assert [t for t in run if t in set(want)] == want, name
+        # All of them are left after optimisation.
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == len(want) * sql.count(" JOIN "), name

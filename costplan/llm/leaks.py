@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costplan.llm.text import words
+from costplan.session import written
 
 K, W = 6, 5
 
@@ -89,7 +90,7 @@ def _fingerprints(texts: DataFrame, k: int, w: int, span: int, wanted: np.ndarra
     return texts.mapInPandas(_scan(None, k, w, span, wanted), "id long, side string, hash long, before array<string>, after array<string>")
 
 
-def leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, sides: list[str], span: int = 10, k: int = K, most_broadcast: int = 4_000_000) -> DataFrame:
+def leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, sides: list[str], span: int = 10, k: int = K, most_broadcast: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, side) for each document and test item that share span successive words.
 
     Null and empty texts share nothing, neither do texts of fewer than span words; repeated
@@ -101,12 +102,9 @@ def leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id:
     w = span - k + 1
     if k < 1 or w < 1:
         raise ValueError("k must lie between 1 and span")
-    spark = corpus.sparkSession
     tests = items.select(F.col(item_id).cast("long").alias("id"), F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("text")) for s in sides])).alias("s")).select("id", "s.side", "s.text")
     tests = tests.where(F.col("id").isNotNull() & F.col("text").isNotNull()).distinct()
-    tests = _fingerprints(tests, k, w, span, None)
-    if not spark.sparkContext.master.startswith("local["):
-        tests = tests.repartition("hash")
+    tests = written(_fingerprints(tests, k, w, span, None), "fingerprints")
     hashes = tests.select("hash").distinct()
     wanted = None
     if hashes.count() <= most_broadcast:

@@ -4,7 +4,8 @@ Each source gets a quota of tokens, its target share of the total. Whole copies
 a source whose quota is a times its tokens gives floor(a) copies of every document. The rest of
 the quota is drawn without replacement: document i has an inclusion probability p_i, and with a
 uniform random u_i its rank is the odds of u_i over the odds of p_i; documents are taken in that
-order (Pareto sampling, a fixed-size design) until the quota of tokens is met.
+order (Pareto sampling, a fixed-size design) until the quota of tokens is met. The p_i are in
+proportion to the weights, those that would pass 1 are certain, and sum p_i n_i is the rest.
 """
 
 from __future__ import annotations
@@ -47,6 +48,29 @@ def count_tokens(df: DataFrame, text: str, file: str, name: str = "n_tokens") ->
     return df.withColumn(name, tokens(F.col(text)))
 
 
+def _odds(listed: DataFrame, rest: dict[str, float], sums: dict[str, dict]) -> dict[str, float]:
+    """c of each source with sum min(1, c w_i) n_i = rest over its documents.
+
+    Documents with c w_i >= 1 are certain; taking them out raises c for the others, so this is
+    repeated until no more become certain. Each round is one aggregate of a row per source.
+    """
+    c = {k: r / sums[k]["weighted"] for k, r in rest.items() if r > 0}
+    sure: dict[str, int] = dict.fromkeys(c, 0)
+    while c:
+        limit = F.create_map(*[F.lit(x) for k, v in c.items() for x in (k, v)])[F.col("key")]
+        certain = limit * F.col("weight") >= 1
+        found = listed.where(limit.isNotNull()).groupBy("key").agg(F.count_if(certain).alias("n"), F.sum(F.when(certain, F.col("n_tokens"))).alias("tokens"), F.sum(F.when(~certain, F.col("n_tokens") * F.col("weight"))).alias("weighted")).collect()
+        moved = [r for r in found if r["n"] > sure[r["key"]]]
+        for r in moved:
+            sure[r["key"]] = r["n"]
+            if r["weighted"]:
+                # Never lower, so that what is certain stays so whatever the rounding.
+                c[r["key"]] = max(c[r["key"]], (rest[r["key"]] - r["tokens"]) / r["weighted"])
+        if not moved:
+            return c
+    return c
+
+
 def draw(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 0, cells: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(drawn, report). docs: doc_id, source, n_tokens, weight; targets: source, target_share, max_repeats.
 
@@ -76,12 +100,14 @@ def draw(docs: DataFrame, targets: DataFrame, total: float | None = None, seed:
         quota = min(size * g["share"] / shares, have * max(g["most"] or 0, 0)) if have else 0.0
         whole = int(quota // have) if have else 0
         rest = quota - whole * have if have else 0.0
-        # p_i = min(c w_i, 0.999) with sum p_i n_i = rest for the unbounded c.
-        plan.append((k, g["named"], g["share"] / shares, g["most"], have, float(quota), whole, float(rest), rest / sums[k]["weighted"] if have else 0.0))
+        plan.append((k, g["named"], g["share"] / shares, g["most"], have, float(quota), whole, float(rest)))
+    c = _odds(listed, {k: rest for k, *_, rest in plan if rest > 0}, sums)
+    plan = [(*row, c.get(row[0], 0.0)) for row in plan]
     table = spark.createDataFrame(plan, "key string, named string, share double, most long, have long, quota double, whole long, rest double, c double")
-    p = F.greatest(F.least(F.col("c") * F.col("weight"), F.lit(0.999)), F.lit(1e-12))
+    p = F.greatest(F.col("c") * F.col("weight"), F.lit(1e-12))
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + 0.5) / F.lit(2.0**53)
-    rank = (u / (1 - u)) / (p / (1 - p))
+    # Documents of probability 1 come first.
+    rank = F.when(p >= 1, 0.0).otherwise((u / (1 - u)) / (p / (1 - p)))
     ranked = listed.join(F.broadcast(table), "key").withColumn("rank", rank)
     # rank / (1 + rank) lies in (0, 1) in the same order; a cell is a range of it.
     ranked = ranked.withColumn("cell", F.floor(F.col("rank") / (1 + F.col("rank")) * cells).cast("int"))

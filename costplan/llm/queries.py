@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costplan.llm import leaks, mixing, offence, sketch, splits, topn
-from costplan.session import table
+from costplan.session import table, written
 
 ACCURACY = 0.01
 SHARES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -65,23 +65,52 @@ def p2_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept[0].union(kept[1])
 
 
+KEYS = ["query_id", "physical_fingerprint"]
+
+
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "beam_quality_runs")
     # Redelivered runs repeat entirely, so the distinct rows of the needed columns count each once.
-    once = runs.select("run_id", "query_id", "physical_fingerprint", "latency_seconds", F.to_date("measured_at").alias("day")).distinct()
-    return sketch.sketch(once, ["query_id", "physical_fingerprint", "day"], "latency_seconds", ACCURACY)
+    rows = runs.select("run_id", *KEYS, "latency_seconds", F.to_date("measured_at").alias("day"))
+    return sketch.sketch(sketch.placed_once(rows, KEYS, "run_id"), [*KEYS, "__salt", "day"], "latency_seconds", ACCURACY)
+
+
+def _signif(x: Column, digits: int = 10) -> Column:
+    """x to so many significant digits, which hides the last bits that power functions differ in."""
+    shift = F.pow(F.lit(10.0), F.lit(float(digits - 1)) - F.floor(F.log10(F.abs(x))))
+    return F.when((x == 0) | (F.abs(x) == float("inf")), x).otherwise(F.round(x * shift) / shift)
+
+
+def _signif_sql(x: str, digits: int = 10) -> str:
+    shift = f"pow(10.0::DOUBLE, {digits - 1}.0::DOUBLE - floor(log10(abs({x}))))"
+    return f"CASE WHEN {x} IS NULL OR {x} = 0 OR isinf({x}) THEN {x} ELSE round({x} * {shift}) / {shift} END"
 
 
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median, p90, p95 and p99 within 1 % of each query and plan, from the days' sketches."""
-    keys = ["query_id", "physical_fingerprint"]
-    found = sketch.percentiles(sketch.merge(_daily(spark, sf_dir), keys), keys, SHARES, ACCURACY)
-    return found.select(*keys, "n_values", *(F.round(k, 9).alias(k) for k in SHARES), F.lit(ACCURACY).alias("relative_error"))
+    # Days are added up within the part that holds them; only a key's sketch crosses the network again.
+    parts = sketch.merge(_daily(spark, sf_dir), [*KEYS, "__salt"])
+    found = sketch.percentiles(parts, KEYS, SHARES, ACCURACY)
+    return found.select(*KEYS, "n_values", *(_signif(F.col(k)).alias(k) for k in SHARES), F.lit(ACCURACY).alias("relative_error"))
 
 
 def p4_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sketches of single days that p4_percentiles adds up."""
-    return _daily(spark, sf_dir).select("query_id", "physical_fingerprint", F.col("day").cast("string").alias("day"), "sign", "bucket", F.col("n").alias("n_values"))
+    daily = sketch.merge(_daily(spark, sf_dir), [*KEYS, "day"])
+    return daily.select(*KEYS, F.col("day").cast("string").alias("day"), "sign", "bucket", F.col("n").alias("n_values"))
+
+
+def p4_guarantee(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles of each query and plan, and whether the sketch's lie within the stated error of all of them."""
+    runs = table(spark, sf_dir, "beam_quality_runs")
+    rows = written(sketch.placed_once(runs.select("run_id", *KEYS, "latency_seconds"), KEYS, "run_id"), "once")
+    parts = sketch.sketch(rows, [*KEYS, "__salt"], "latency_seconds", ACCURACY)
+    near = sketch.percentiles(parts, KEYS, SHARES, ACCURACY)
+    exact = sketch.exact_percentiles(rows, written(sketch.merge(parts, KEYS), "sketch"), KEYS, "latency_seconds", SHARES, ACCURACY)
+    both = near.alias("s").join(exact.alias("e"), [F.col(f"s.{k}").eqNullSafe(F.col(f"e.{k}")) for k in KEYS])
+    within = lambda k: F.col(f"s.{k}").eqNullSafe(F.col(f"e.{k}")) | (F.abs(F.col(f"s.{k}") - F.col(f"e.{k}")) <= ACCURACY * (1 + 1e-9) * F.abs(F.col(f"e.{k}")))
+    holds = within("p50") & within("p90") & within("p95") & within("p99")
+    return both.select(*[F.col(f"e.{k}").alias(k) for k in KEYS], *[F.col(f"e.{k}").alias(k) for k in SHARES], holds.alias("holds"))
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +178,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("offensive").cast("long")).alias("n_offensive"), F.round(F.avg(F.col("offensive").cast("double")), 6).alias("rate"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_ranked, p4_percentiles, p4_daily, p6_found, p6_items, p7_drawn, p7_shares, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_ranked, p4_percentiles, p4_daily, p4_guarantee, p6_found, p6_items, p7_drawn, p7_shares, p8_found, p8_scores, p8_rates)}
 
 _TIES = """
 WITH RECURSIVE r AS (
@@ -196,9 +225,16 @@ ORACLE = {
     + """, b AS (SELECT query_id, physical_fingerprint, sign, bucket, CAST(sum(n) AS BIGINT) AS n FROM d GROUP BY ALL),
 v AS (SELECT *, CASE WHEN sign = 0 THEN 0.0::DOUBLE WHEN bucket = 2147483647 THEN sign * 'infinity'::DOUBLE ELSE sign * (2 / (1.01::DOUBLE / 0.99::DOUBLE + 1)) * pow(1.01::DOUBLE / 0.99::DOUBLE, bucket) END AS x FROM b),
 c AS (SELECT *, sum(n) OVER (PARTITION BY query_id, physical_fingerprint ORDER BY x) AS upto, sum(n) OVER (PARTITION BY query_id, physical_fingerprint) AS total FROM v)
-SELECT query_id, physical_fingerprint, CAST(max(total) AS BIGINT) AS n_values,
-  round(min(x) FILTER (upto > floor(0.5::DOUBLE * (total - 1))), 9) AS p50, round(min(x) FILTER (upto > floor(0.9::DOUBLE * (total - 1))), 9) AS p90,
-  round(min(x) FILTER (upto > floor(0.95::DOUBLE * (total - 1))), 9) AS p95, round(min(x) FILTER (upto > floor(0.99::DOUBLE * (total - 1))), 9) AS p99,
-  0.01::DOUBLE AS relative_error
-FROM c GROUP BY query_id, physical_fingerprint""",
+SELECT query_id, physical_fingerprint, n_values, """
+    + ", ".join(f"{_signif_sql(k)} AS {k}" for k in SHARES)
+    + """, 0.01::DOUBLE AS relative_error FROM (SELECT query_id, physical_fingerprint, CAST(max(total) AS BIGINT) AS n_values,
+  """
+    + ", ".join(f"min(x) FILTER (upto > floor({p}::DOUBLE * (total - 1))) AS {k}" for k, p in SHARES.items())
+    + """
+FROM c GROUP BY query_id, physical_fingerprint)""",
+    "p4_guarantee": """WITH once AS (SELECT DISTINCT run_id, query_id, physical_fingerprint, latency_seconds AS x FROM beam_quality_runs WHERE latency_seconds IS NOT NULL AND NOT isnan(latency_seconds)),
+r AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY query_id, physical_fingerprint) AS n FROM once WINDOW w AS (PARTITION BY query_id, physical_fingerprint ORDER BY x))
+SELECT query_id, physical_fingerprint, """
+    + ", ".join(f"min(x) FILTER (i = floor({p}::DOUBLE * (n - 1))) AS {k}" for k, p in SHARES.items())
+    + """, true AS holds FROM r GROUP BY query_id, physical_fingerprint""",
 }

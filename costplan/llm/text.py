@@ -14,16 +14,25 @@ HOMOGLYPHS = {
     "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ħ": "h", "ŧ": "t", "ſ": "s", "æ": "ae", "œ": "oe",
 }
 
-_TAG = regex.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->", regex.S)
-_ENTITY = regex.compile(r"&(#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});")
+_TAG = regex.compile(r"</?[A-Za-z][^<>]*>")
+_ENTITY = regex.compile(r"&(#\d+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
 _HIDDEN = regex.compile(r"[\p{Cf}\p{Mn}\p{Me}ᅟᅠㅤﾠ͏]+")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
+def _without_comments(text: str) -> str:
+    """text without <!-- -->; linear, as an open comment ends the search."""
+    parts, at = [], 0
+    while (start := text.find("<!--", at)) >= 0 and (end := text.find("-->", start + 4)) >= 0:
+        parts.append(text[at:start])
+        at = end + 3
+    return "".join([*parts, text[at:]])
+
+
 def plain(text: str) -> str:
-    """text without markup, invisible characters, accents and case."""
+    """text without markup of any length, invisible characters, accents and case."""
     if "<" in text:
-        text = _TAG.sub("", text)
+        text = _TAG.sub("", _without_comments(text))
     if "&" in text:
         import html
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,19 @@ def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return targets.join(reached, "split_name", "left").join(F.broadcast(total)).select("split_name", "target_share", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_components", F.lit(0)).alias("n_components"), F.round(F.coalesce("n_rows", F.lit(0)) / F.col("total"), 6).alias("share"))
 
 
+def p1_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that hold for any right split: rows, groups of tied queries, keys found in two splits, splits more than a row off target."""
+    rows = written(_split_rows(spark, sf_dir).select("entity", "link", "__component", "__split"), "split")
+    torn = lambda key: rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("__split").alias("a"), F.max("__split").alias("b")).agg(F.count_if(F.col("a") != F.col("b")))
+    targets = table(spark, sf_dir, "split_targets").where("split_name is not null")
+    reached = rows.groupBy(F.col("__split").alias("split_name")).agg(F.count(F.lit(1)).alias("n"))
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    off = targets.join(reached, "split_name", "left").join(total).agg(F.count_if(F.abs(F.coalesce("n", F.lit(0)) - F.col("target_share") * F.col("total")) > 1))
+    found = {"rows": total, "components": rows.where(F.col("entity").isNotNull()).agg(F.countDistinct("__component")), "queries_in_two_splits": torn("entity"), "plans_in_two_splits": torn("link"), "splits_off_target": off}
+    parts = [df.toDF("n").select(F.lit(name).alias("check_name"), "n") for name, df in found.items()]
+    return reduce(DataFrame.union, parts)
+
+
 def _best_plans(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = table(spark, sf_dir, name)
     if name == "exhaustive_prescoring_q05_plan_medians":
@@ -178,7 +192,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("offensive").cast("long")).alias("n_offensive"), F.round(F.avg(F.col("offensive").cast("double")), 6).alias("rate"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_ranked, p4_percentiles, p4_daily, p4_guarantee, p6_found, p6_items, p7_drawn, p7_shares, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p1_checks, p2_found, p2_ranked, p4_percentiles, p4_daily, p4_guarantee, p6_found, p6_items, p7_drawn, p7_shares, p8_found, p8_scores, p8_rates)}
 
 _TIES = """
 WITH RECURSIVE r AS (
@@ -192,7 +206,6 @@ s AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
 reach AS (SELECT DISTINCT q AS u, q AS v FROM r WHERE q IS NOT NULL UNION SELECT reach.u, s.v FROM reach JOIN s ON reach.v = s.u),
 c AS (SELECT u AS q, min(v) AS comp FROM reach GROUP BY u),
 n AS (SELECT DISTINCT query_id, comp FROM r JOIN c USING (q) WHERE query_id IS NOT NULL)
-SELECT x.query_id AS query_id_1, y.query_id AS query_id_2 FROM n x JOIN n y USING (comp) WHERE x.query_id < y.query_id
 """
 
 _TOP = """
@@ -217,7 +230,11 @@ d AS (
 """
 
 ORACLE = {
-    "p1_found": _TIES,
+    "p1_found": _TIES + "SELECT x.query_id AS query_id_1, y.query_id AS query_id_2 FROM n x JOIN n y USING (comp) WHERE x.query_id < y.query_id",
+    "p1_checks": _TIES
+    + """SELECT 'rows' AS check_name, count(*) AS n FROM (SELECT DISTINCT row_id, query_id, plan_id, strategy FROM phase1_benchmark)
+UNION ALL SELECT 'components', count(DISTINCT comp) FROM c
+UNION ALL SELECT unnest(['queries_in_two_splits', 'plans_in_two_splits', 'splits_off_target']), 0""",
     "p2_found": _TOP + "SELECT table_name, row_id FROM ranked WHERE rk <= 5",
     "p2_ranked": _TOP + "SELECT table_name, CAST(rk AS INTEGER) AS rank, fingerprint, m AS median_s, row_id FROM ranked WHERE rk <= 5",
     "p4_daily": _SKETCH + "SELECT query_id, physical_fingerprint, CAST(day AS VARCHAR) AS day, sign, bucket, n AS n_values FROM d",

@@ -1,13 +1,14 @@
 """Splits that keep related records together.
 
 Records that share an entity, directly or by a chain of links, form a component; components are
-bundled by equal size and label profile, a flow over bundles and splits of least deviation from
-the quotas says how many components of each bundle go to each split, and the members of a bundle
+bundled by equal size and label profile, a min-cost flow over bundles and splits, with the
+deviations from the quotas as its cost, says how many of them go to each split, and the members
 are dealt out in the order of a hash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -29,78 +30,145 @@ def canonical_plan(c: Column) -> Column:
     return F.regexp_replace(canonical_query(c), r"(?<=\d\p{L})0+(?=\d)", "")
 
 
-def allocate(bundles: Sequence[tuple[int, str, int]], shares: dict[str, float], label_weight: float = 0.25, max_rounds: int = 400) -> np.ndarray:
-    """How many components of each bundle (size, profile, components) go to each split.
+def _move_costs(flow: np.ndarray, within: np.ndarray, step: float, label_weight: float, units: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least cost to move `units` components from split j to split k by any one group, and that group: (cost[j, k], group[j, k])."""
+    less = np.where(flow >= units, np.abs(within - units * step) - np.abs(within), np.inf)
+    more = np.abs(within + units * step) - np.abs(within)
+    change = label_weight * (less[:, :, None] + more[:, None, :])
+    group = change.argmin(axis=0)
+    cost = np.take_along_axis(change, group[None], axis=0)[0]
+    np.fill_diagonal(cost, np.inf)
+    return cost, group
+
+
+def _negative_cycle(cost: np.ndarray) -> list[int] | None:
+    """Nodes of a cycle of negative cost in a dense graph, in its order; None if there is none (Bellman and Ford)."""
+    n = len(cost)
+    far, via = np.zeros(n), np.full(n, -1)
+    last = -1
+    for _ in range(n):
+        through = far[:, None] + cost
+        best = through.argmin(axis=0)
+        value = through[best, np.arange(n)]
+        better = value < far - 1e-9
+        if not better.any():
+            return None
+        far, via = np.where(better, value, far), np.where(better, best, via)
+        last = int(np.flatnonzero(better)[0])
+    for _ in range(n):  # into the cycle
+        last = int(via[last])
+    cycle, at = [last], int(via[last])
+    while at != last:
+        cycle.append(at)
+        at = int(via[at])
+    return cycle[::-1]
+
+
+def solve_class(step: float, count: np.ndarray, quota: np.ndarray, rows: np.ndarray, within: np.ndarray, label_weight: float) -> np.ndarray:
+    """The flow of least cost of components of one size (step rows each) from groups to splits; exact.
+
+    rows and within are the deviations (of splits; of groups and splits) that larger components
+    left; both are updated. The network is groups -> splits -> sink with convex costs
+    label_weight * |within| on the first arcs and |rows| on the last ones. The flow starts from
+    the quotas, rounded.
+    """
+    flow = np.floor(count[:, None] * quota + 1e-9).astype(np.int64)
+    rows += step * (flow - count[:, None] * quota).sum(axis=0)
+    within += step * (flow - count[:, None] * quota)
+    for g, left in enumerate(count - flow.sum(axis=1)):
+        for _ in range(int(left)):
+            add = np.abs(rows + step) - np.abs(rows) + label_weight * (np.abs(within[g] + step) - np.abs(within[g]))
+            j = int(add.argmin())
+            flow[g, j] += 1
+            rows[j] += step
+            within[g, j] += step
+    cancel_cycles(step, flow, rows, within, label_weight)
+    return flow
+
+
+def cancel_cycles(step: float, flow: np.ndarray, rows: np.ndarray, within: np.ndarray, label_weight: float) -> bool:
+    """Makes flow, in place, one of least cost; whether anything changed.
 
-    A flow of components from bundles to splits. Its cost is the sum of the splits' deviations
-    from their quotas in rows, plus label_weight times the deviations within each profile. The
-    fractional optimum gives each split its share of every bundle; it is rounded down, the
-    remaining components go, larger ones first, where they cost least, and negative cycles of the
-    residual network (move one component; exchange two) are cancelled, the best first, until none
-    is left or max_rounds are done (by then only the balance of labels still gains). Shares need
-    not sum to 1. Ties go to the earlier split by name.
+    Negative cycles of the residual network are cancelled, first for steps of many components,
+    then of fewer, at last of one: a flow of convex costs without a negative cycle of single
+    components is of least cost.
+    """
+    k, changed = len(rows), False
+    units = 1 << max(int(flow.max(initial=0)).bit_length() - 1, 0)
+    while units:
+        cost, group = _move_costs(flow, within, step, label_weight, units)
+        graph = np.full((k + 1, k + 1), np.inf)
+        graph[:k, :k] = cost
+        graph[:k, k] = np.abs(rows + units * step) - np.abs(rows)
+        graph[k, :k] = np.abs(rows - units * step) - np.abs(rows)
+        cycle = _negative_cycle(graph)
+        if cycle is None:
+            units //= 2
+            continue
+        changed = True
+        for a, b in zip(cycle, cycle[1:] + cycle[:1]):
+            if a == k:
+                rows[b] -= units * step
+            elif b == k:
+                rows[a] += units * step
+            else:
+                g = group[a, b]
+                flow[g, a] -= units
+                flow[g, b] += units
+                within[g, a] -= units * step
+                within[g, b] += units * step
+    return changed
+
+
+def allocate(groups: Sequence[tuple[int, str, int]], shares: dict[str, float], label_weight: float = 0.25) -> np.ndarray:
+    """How many components of each group (size, label shares, components) go to each split.
+
+    The cost is the sum of the splits' deviations from their quotas in rows, plus label_weight
+    times the deviations within each kind of label shares. The fractional optimum gives each
+    split its share of every group. Rounding it for components of different sizes at once is a
+    partition problem, so sizes are taken from the largest to the smallest: each is a min-cost
+    flow, solved exactly (solve_class), that also makes up for what larger ones left. That is
+    repeated until no size's flow can be bettered while the others stay. Shares need not sum to
+    1; the order of splits is that of their names.
     """
     names = sorted(shares)
     quota = np.array([float(shares[k]) for k in names])
     if not len(names) or (quota < 0).any() or quota.sum() <= 0:
         raise ValueError("shares must be positive")
     quota = quota / quota.sum()
-    size = np.array([b[0] for b in bundles], float)
-    count = np.array([b[2] for b in bundles], np.int64)
-    labels, label = np.unique([b[1] for b in bundles], return_inverse=True) if len(bundles) else ([], np.zeros(0, int))
-    flow = np.floor(count[:, None] * quota + 1e-9).astype(np.int64)
-    rows = size @ flow - (size @ count) * quota  # deviation of each split
-    within = np.zeros((len(labels), len(names)))
-    np.add.at(within, label, size[:, None] * (flow - count[:, None] * quota))
-
-    def cost(dev: np.ndarray) -> np.ndarray:
-        return np.abs(dev)
-
-    for b in np.argsort(-size, kind="stable"):
-        for _ in range(int(count[b] - flow[b].sum())):
-            add = cost(rows + size[b]) - cost(rows) + label_weight * (cost(within[label[b]] + size[b]) - cost(within[label[b]]))
-            k = int(np.argmin(add))
-            flow[b, k] += 1
-            rows[k] += size[b]
-            within[label[b], k] += size[b]
-    for _ in range(max_rounds):
-        best, step = -1e-9, None
-        for j in range(len(names)):
-            for k in range(len(names)):
-                if j == k:
-                    continue
-                w = within[label]
-                own = label_weight * (cost(w[:, j] - size) - cost(w[:, j]) + cost(w[:, k] + size) - cost(w[:, k]))
-                move = np.where(flow[:, j] > 0, cost(rows[j] - size) - cost(rows[j]) + cost(rows[k] + size) - cost(rows[k]) + own, np.inf)
-                if len(move) and move.min() < best:
-                    best, step = move.min(), [(int(move.argmin()), j, k)]
-                # Exchanges: one of bundle a from j to k, one of the bundle b nearest to the wanted net size back.
-                if j < k:
-                    order = np.argsort(size, kind="stable")
-                    back = order[flow[order, k] > 0]
-                    ahead = np.flatnonzero(flow[:, j] > 0)
-                    if not len(back) or not len(ahead):
-                        continue
-                    wanted = size[ahead] - (rows[j] - rows[k]) / 2
-                    for shift in (-1, 0):
-                        b = back[np.clip(np.searchsorted(size[back], wanted) + shift, 0, len(back) - 1)]
-                        net = size[ahead] - size[b]
-                        change = cost(rows[j] - net) - cost(rows[j]) + cost(rows[k] + net) - cost(rows[k])
-                        change = np.where(label[ahead] == label[b], change + label_weight * (cost(within[label[ahead], j] - net) - cost(within[label[ahead], j]) + cost(within[label[ahead], k] + net) - cost(within[label[ahead], k])), change + own[ahead] + label_weight * (cost(within[label[b], j] + size[b]) - cost(within[label[b], j]) + cost(within[label[b], k] - size[b]) - cost(within[label[b], k])))
-                        if change.min() < best:
-                            i = int(change.argmin())
-                            best, step = change.min(), [(int(ahead[i]), j, k), (int(b[i]), k, j)]
-        if step is None:
-            break
-        for b, j, k in step:
-            flow[b, j] -= 1
-            flow[b, k] += 1
-            for dev in (rows, within[label[b]]):
-                dev[j] -= size[b]
-                dev[k] += size[b]
+    flow = np.zeros((len(groups), len(names)), np.int64)
+    kinds: dict[str, int] = {}
+    of_size: dict[int, list[int]] = {}
+    for i, (size, kind, _) in enumerate(groups):
+        kinds.setdefault(kind, len(kinds))
+        of_size.setdefault(size, []).append(i)
+    rows, within = np.zeros(len(names)), np.zeros((len(kinds), len(names)))
+    for size in sorted(of_size, reverse=True):
+        own = of_size[size]
+        at = np.array([kinds[groups[i][1]] for i in own])
+        part = within[at]
+        flow[own] = solve_class(float(size), np.array([groups[i][2] for i in own], np.int64), quota, rows, part, label_weight)
+        within[at] = part
+    changed = True
+    while changed:
+        changed = False
+        for size in sorted(of_size, reverse=True):
+            own = of_size[size]
+            at = np.array([kinds[groups[i][1]] for i in own])
+            part, mine = within[at], flow[own]
+            if cancel_cycles(float(size), mine, rows, part, label_weight):
+                flow[own], within[at], changed = mine, part, True
     return flow
 
 
+def stride(n: int) -> int:
+    """A number without common divisor with n near n over the golden ratio: multiples of it, modulo n, spread evenly."""
+    m = max(1, round(n * 0.6180339887498949))
+    while math.gcd(m, n) > 1:
+        m += 1
+    return m
+
+
 def tied_components(df: DataFrame, entity: str, link: str) -> tuple[DataFrame, DataFrame]:
     """Components of df's rows by two keys; adds nothing but __component to the rows.
 
@@ -125,44 +193,51 @@ def tied_components(df: DataFrame, entity: str, link: str) -> tuple[DataFrame, D
     return named.unionByName(orphans), nodes
 
 
-def _profile(parts: Column, size: Column) -> Column:
-    """Labels and their shares of a component in quarters, as text: 'broadcast:2,default:2'."""
-    quarters = F.transform(parts, lambda p: F.struct(p["label"].alias("label"), F.round(4 * p["n"] / size).cast("int").alias("q")))
-    return F.array_join(F.transform(F.array_sort(F.filter(quarters, lambda p: p["q"] > 0)), lambda p: F.concat(p["label"], F.lit(":"), p["q"].cast("string"))), ",")
+def _profiles(parts: Column, size: Column) -> tuple[Column, Column]:
+    """A component's labels with their counts, 'broadcast:3,default:5', and with their shares in quarters."""
+    text = lambda share: F.array_join(F.transform(F.array_sort(F.filter(F.transform(parts, lambda p: F.struct(p["label"].alias("label"), share(p).alias("q"))), lambda p: p["q"] > 0)), lambda p: F.concat(p["label"], F.lit(":"), p["q"].cast("string"))), ",")
+    return text(lambda p: p["n"]), text(lambda p: F.round(4 * p["n"] / size).cast("long"))
 
 
 def grouped_splits(df: DataFrame, entity: str, link: str, label: str, shares: dict[str, float], seed: int = 0, cell: int = 20_000) -> DataFrame:
     """df's distinct rows with __component and __split: related rows share a split.
 
-    entity and link are columns of canonical keys (see canonical_query, canonical_plan). Bundles
-    are components of equal size and equal label shares in quarters, so what reaches the driver
-    is bounded by distinct sizes (at most the root of twice the rows) times profiles, never
-    components or rows. Members of a bundle are ranked by hash within cells of about `cell`
-    components, and the cells' counts give the offsets: no bundle has to fit into one task.
-    A null label is a label of its own; redelivered rows count once; an empty table gives no
-    rows. A component larger than every quota goes where it deviates least.
+    entity and link are columns of canonical keys (see canonical_query, canonical_plan). A bundle
+    is the components of equal size and identical label counts. The flow runs over the groups of
+    bundles that are equal in size and, to the quarter, in label shares, so what reaches the
+    driver is bounded by distinct sizes (at most the root of twice the rows) times such shares,
+    never components or rows. A group's components are put in the order of bundle and hash, and
+    the position times a stride, modulo their number, says the split: every split gets exactly its
+    flow, and every bundle, a run of positions, is spread evenly over the splits. Positions are
+    ranks in cells of about `cell` components plus the cells' counts: no bundle has to fit into
+    one task. A null label is a label of its own; redelivered rows count once; an empty table
+    gives no rows. A component larger than every quota goes where it deviates least.
     """
     spark = df.sparkSession
-    clash = {"__component", "__split", "__cell", "__rank", "__before", "__bundle"} & set(df.columns)
+    clash = {"__component", "__split", "__cell", "__rank", "__before", "__group"} & set(df.columns)
     if clash:
         raise ValueError(f"reserved column names: {sorted(clash)}")
     rows, _ = tied_components(df.distinct(), entity, link)
     rows = written(rows, "tied")
     by_label = rows.groupBy("__component", F.coalesce(F.col(label), F.lit("∅")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     sized = by_label.groupBy("__component").agg(F.sum("n").alias("size"), F.collect_list(F.struct("label", "n")).alias("parts"))
-    sized = written(sized.select("__component", "size", _profile(F.col("parts"), F.col("size")).alias("profile")), "sized")
-    bundles = [tuple(r) for r in sized.groupBy("size", "profile").agg(F.count(F.lit(1)).alias("n")).orderBy("size", "profile").collect()]
-    flow = allocate(bundles, shares)
+    bundle, kind = _profiles(F.col("parts"), F.col("size"))
+    sized = written(sized.select("__component", "size", bundle.alias("bundle"), kind.alias("kind")), "sized")
+    groups = [tuple(r) for r in sized.groupBy("size", "kind").agg(F.count(F.lit(1)).alias("n")).orderBy("size", "kind").collect()]
     names = sorted(shares)
-    plan = [(s, p, max(1, -(-n // cell)), *np.cumsum(flow[i]).tolist()) for i, (s, p, n) in enumerate(bundles)]
-    limits = spark.createDataFrame(plan, "size long, profile string, cells long, " + ", ".join(f"to_{k} long" for k in range(len(names))))
+    plan = [(s, p, n, stride(n), *np.cumsum(f).tolist()) for (s, p, n), f in zip(groups, allocate(groups, shares))]
+    limits = spark.createDataFrame(plan, "size long, kind string, __n long, __stride long, " + ", ".join(f"to_{k} long" for k in range(len(names))))
     h = F.xxhash64("__component", F.lit(seed))
-    placed = sized.join(F.broadcast(limits), ["size", "profile"]).withColumns({"__h": h, "__cell": F.floor((F.shiftrightunsigned(h, 33) / F.lit(2.0**31)) * F.col("cells"))})
-    cells = placed.groupBy("size", "profile", "__cell").agg(F.count(F.lit(1)).alias("m"))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy("size", "profile").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = cells.select("size", "profile", "__cell", before.alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("size", "profile", "__cell").orderBy("__h", "__component"))
-    ranked = placed.withColumn("__rank", rank).join(offsets, ["size", "profile", "__cell"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
-    split = F.coalesce(*[F.when(F.col("__rank") <= F.col(f"to_{k}"), F.lit(name)) for k, name in enumerate(names)])
+    cells = F.ceil(F.col("__n") / cell)
+    placed = sized.join(limits, ["size", "kind"]).withColumns({"__h": h, "__cell": F.floor((F.shiftrightunsigned(h, 33) / F.lit(2.0**31)) * cells)})
+    one = ["size", "kind", "bundle", "__cell"]
+    counts = placed.groupBy(*one).agg(F.count(F.lit(1)).alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("size", "kind").orderBy("bundle", "__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*one, before.alias("__before"))
+    rank = F.row_number().over(Window.partitionBy(*one).orderBy("__h", "__component"))
+    ranked = placed.withColumn("__rank", rank).join(offsets, one)
+    wide = lambda c: c.cast("decimal(19,0)")
+    slot = F.pmod(wide(F.col("__rank") + F.col("__before") - 1) * wide(F.col("__stride")), wide(F.col("__n")))
+    split = F.coalesce(*[F.when(slot < F.col(f"to_{k}"), F.lit(name)) for k, name in enumerate(names)])
     dealt = written(ranked.select("__component", split.alias("__split")), "dealt")
     return rows.join(dealt, "__component")

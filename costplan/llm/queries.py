@@ -55,13 +55,13 @@ def p1_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
-def _best_plans(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _best_plans(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, name)
     if name == "exhaustive_prescoring_q05_plan_medians":
         rows = rows.where(F.col("error").isNull() & F.col("result_equivalent") & (F.col("median_execution_s") > 0))
-        return topn.top_n(rows, ["batch_no"], "fingerprint", F.col("median_execution_s"), "row_id", 5)
+        return topn.top_n_and_reads(rows, ["batch_no"], "fingerprint", F.col("median_execution_s"), "row_id", 5)
     rows = rows.where(F.col("shared_median_latency_seconds") > 0)
-    return topn.top_n(rows, ["query_id", "mode"], "physical_fingerprint", F.col("shared_median_latency_seconds"), "row_id", 5)
+    return topn.top_n_and_reads(rows, ["query_id", "mode"], "physical_fingerprint", F.col("shared_median_latency_seconds"), "row_id", 5)
 
 
 P2_TABLES = ("exhaustive_prescoring_q05_plan_medians", "beam_scorer_multiscenario_candidates")
@@ -69,16 +69,25 @@ P2_TABLES = ("exhaustive_prescoring_q05_plan_medians", "beam_scorer_multiscenari
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows kept of each batch, and of each query and mode."""
-    kept = [_best_plans(spark, sf_dir, name).select(F.lit(name).alias("table_name"), "row_id") for name in P2_TABLES]
+    kept = [_best_plans(spark, sf_dir, name)[0].select(F.lit(name).alias("table_name"), "row_id") for name in P2_TABLES]
     return kept[0].union(kept[1])
 
 
 def p2_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with group, plan, median and rank."""
-    kept = [_best_plans(spark, sf_dir, name).select(F.lit(name).alias("table_name"), F.col("rank").cast("int").alias("rank"), F.col("item").alias("fingerprint"), F.col("score").alias("median_s"), "row_id") for name in P2_TABLES]
+    kept = [_best_plans(spark, sf_dir, name)[0].select(F.lit(name).alias("table_name"), F.col("rank").cast("int").alias("rank"), F.col("item").alias("fingerprint"), F.col("score").alias("median_s"), "row_id") for name in P2_TABLES]
     return kept[0].union(kept[1])
 
 
+def p2_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row groups of each clustered table, and how many of them and of their rows were skipped."""
+    found = []
+    for name in P2_TABLES:
+        parts = _best_plans(spark, sf_dir, name)[1]
+        found.append(parts.agg(F.count(F.lit(1)).alias("row_groups"), F.count_if(~F.col("is_read")).alias("skipped"), F.sum("n_rows").alias("n_rows"), F.sum(F.when(~F.col("is_read"), F.col("n_rows")).otherwise(0)).alias("rows_skipped")).select(F.lit(name).alias("table_name"), "*"))
+    return found[0].union(found[1])
+
+
 KEYS = ["query_id", "physical_fingerprint"]
 
 
@@ -192,7 +201,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("offensive").cast("long")).alias("n_offensive"), F.round(F.avg(F.col("offensive").cast("double")), 6).alias("rate"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p1_checks, p2_found, p2_ranked, p4_percentiles, p4_daily, p4_guarantee, p6_found, p6_items, p7_drawn, p7_shares, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p1_checks, p2_found, p2_ranked, p2_skipping, p4_percentiles, p4_daily, p4_guarantee, p6_found, p6_items, p7_drawn, p7_shares, p8_found, p8_scores, p8_rates)}
 
 _TIES = """
 WITH RECURSIVE r AS (

@@ -3,7 +3,8 @@
 A text is folded (markup, invisible characters, accents, case, look-alike letters), disguised words
 are unmasked (digits and signs for letters, s.p.a.c.e.d letters, streeetched letters, st*rs), and
 one Aho-Corasick automaton finds the weighted entries of the lexicon and the phrases of harmless
-use, whose hits are taken back. The score is the sum of the weights in relation to the length.
+use, whose hits are taken back. The score is the sum of the weights (light entries count once a
+text) in relation to the length, and a text is offensive from a fixed score on.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costplan.llm.lexicon import entries, harmless
+from costplan.llm.lexicon import LIGHT, entries, harmless
 from costplan.llm.text import fold_letters, plain
 
 #: Signs and digits that stand for letters, fixed values; 1 stands for i or l.
@@ -107,11 +108,15 @@ class Matcher:
             if entry:
                 spans.append((*where, entry))
         total: dict[str, float] = defaultdict(float)
-        reached = -1
+        reached, once = -1, set()
         for a, b, (category, weight) in sorted(spans, key=lambda s: (s[0], -s[1])):
             if b <= reached or any(x <= a and b <= y for x, y in safe):
                 continue
             reached = max(reached, b)
+            if weight <= LIGHT:
+                if t[a:b] in once:
+                    continue
+                once.add(t[a:b])
             total[category] += weight
         return dict(total), t.count(" ") - 1
 
@@ -119,11 +124,15 @@ class Matcher:
 CATEGORIES = ("insult", "threat", "hate", "sexual")
 
 
+#: A text of this score or more is offensive: one strong entry in up to about 700 words, two in up to 11 000.
+OFFENSIVE = 0.4
+
+
 def score(df: DataFrame, text: str, words_of_one: int = 200) -> DataFrame:
     """df with insult, threat, hate, sexual (weights found), n_words, evidence, score and offensive.
 
-    evidence is the sum of the weights; a text is offensive from an evidence of 1 on, whatever its
-    length. score, for ranking and review, is evidence / (1 + ln(1 + n_words / words_of_one)). A null
+    evidence is the sum of the weights, score is evidence / (1 + ln(1 + n_words / words_of_one)),
+    and a text is offensive from a score of OFFENSIVE on: longer texts need more evidence. A null
     or empty text has no words, no evidence and a score of 0. Texts are read whole. The scan needs no
     shuffle. Columns of df of these names are refused, as they would clash.
     """
@@ -143,7 +152,7 @@ def score(df: DataFrame, text: str, words_of_one: int = 200) -> DataFrame:
     flat = hit.select(*df.columns, *[F.col(f"__hit.{c}").alias(c) for c in ("n_words", *CATEGORIES)])
     evidence = F.round(sum((F.col(c) for c in CATEGORIES[1:]), F.col(CATEGORIES[0])), 6)
     flat = flat.withColumn("evidence", evidence)
-    return flat.withColumn("score", F.round(F.col("evidence") / (1 + F.log1p(F.col("n_words") / words_of_one)), 6)).withColumn("offensive", F.col("evidence") >= 1.0)
+    return flat.withColumn("score", F.round(F.col("evidence") / (1 + F.log1p(F.col("n_words") / words_of_one)), 6)).withColumn("offensive", F.col("score") >= OFFENSIVE)
 
 
 def strength(evidence: float, n_words: int, words_of_one: int = 200) -> float:

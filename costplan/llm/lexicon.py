@@ -56,7 +56,7 @@ NAMES = {
 SCORN = {
     "en": "stupid, dumb, worthless, brainless, pathetic, disgusting, filthy, useless, fucking, goddamn, goddamned, damn, damned, bloody, ugly, miserable, ignorant, dirty, rotten, lying, spineless, fat, smelly, vile, absolute, complete, total, utter, little",
     "de": "dumme, dummer, dummes, verdammte, verdammter, verdammtes, verfickte, verfickter, elende, elender, elendes, beschissene, beschissener, beschissenes, widerliche, widerlicher, widerliches, blode, bloder, blodes, dreckige, dreckiger, dreckiges, hassliche, hasslicher, fette, fetter, fettes, miese, mieser, mieses, erbarmliche, erbarmlicher, verlogener, armseliger, wertloser, wertloses, nutzloser, feiger",
-    "fr": "espece de, pauvre, sale, gros, grosse, putain de, bande de, petit, petite, foutu, foutue, maudit, vieux, vieille, stupide, misérable, miserable, immonde",
+    "fr": "espece de, pauvre, sale, gros, grosse, putain de, bande de, petit, petite, foutu, foutue, maudit, vieux, vieille, stupide, miserable, immonde",
     "es": "pedazo de, puto, puta, jodido, jodida, maldito, maldita, asqueroso, asquerosa, estupido, estupida, sucio, sucia, pinche, gordo, gorda, miserable, inutil, feo, fea, pobre, tremendo, vaya",
     "it": "brutto, brutta, brutti, schifoso, schifosa, maledetto, maledetta, povero, sporco, sporca, stupido, stupida, lurido, lurida, razza di, pezzo di, misero, grandissimo, grandissima, fottuto, fottuta, cazzo di, inutile, solito, ignobile, emerito",
 }

@@ -6,6 +6,7 @@ import math
 import os
 
 import numpy as np
+import offence_sentences as sentences
 import pytest
 from helpers import assert_same, connect
 from hypothesis import given, settings
@@ -13,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from costplan.llm import components, leaks, mixing, offence, queries, sketch, splits, text, topn
+from costplan.session import temporary_conf
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLE))
@@ -85,6 +87,45 @@ def test_split_edges(spark):
         splits.allocate([(1, "a", 1)], {})
 
 
+def _parts(n, k):
+    if k == 1:
+        yield (n,)
+        return
+    for i in range(n + 1):
+        yield from ((i, *rest) for rest in _parts(n - i, k - 1))
+
+
+def _cost(groups, quota, flow):
+    size, n = np.array([g[0] for g in groups]), np.array([g[2] for g in groups])
+    gap = size[:, None] * (flow - n[:, None] * quota)
+    kinds = [[i for i, g in enumerate(groups) if g[1] == k] for k in {g[1] for g in groups}]
+    return np.abs(gap.sum(axis=0)).sum() + 0.25 * sum(np.abs(gap[i].sum(axis=0)).sum() for i in kinds)
+
+
+@given(st.integers(1, 9), st.lists(st.integers(1, 5), min_size=1, max_size=3), st.tuples(*[st.integers(1, 20)] * 3))
+@settings(max_examples=60, deadline=None)
+def test_flow_of_one_size_costs_least(size, counts, shares):
+    groups = [(size, f"k{i}", n) for i, n in enumerate(counts)]
+    flow = splits.allocate(groups, dict(zip("abc", shares)))
+    quota = np.array(shares) / sum(shares)
+    least = min(_cost(groups, quota, np.array(f)) for f in itertools.product(*[list(_parts(n, 3)) for n in counts]))
+    assert _cost(groups, quota, flow) <= least + 1e-6
+
+
+def test_many_groups_settle(spark):
+    rng = np.random.default_rng(0)
+    groups = sorted(collections.Counter(zip(np.maximum(1, rng.pareto(1.1, 40000) * 3).astype(int).tolist(), rng.integers(0, 60, 40000).astype(str).tolist())).items())
+    groups = [(s, k, n) for (s, k), n in groups]
+    flow = splits.allocate(groups, {"train": 0.8, "validation": 0.1, "test": 0.1})
+    size = np.array([g[0] for g in groups])
+    assert np.abs(size @ flow - (size @ np.array([g[2] for g in groups])) * np.array([0.1, 0.8, 0.1])).max() < 2
+
+
+def test_strides_reach_every_position():
+    for n in [*range(1, 60), 1000, 4096]:
+        assert {i * splits.stride(n) % n for i in range(n)} == set(range(n))
+
+
 def test_hot_query_and_many_singles_reach_the_shares(spark):
     hot = spark.range(1000).selectExpr("id as row_id", "'HOT' as entity", "cast(id as string) as link", "'l' as label")
     single = spark.range(1000, 3000).selectExpr("id as row_id", "cast(id as string) as entity", "cast(id as string) as link", "'l' as label")
@@ -112,7 +153,7 @@ def test_top_n_equals_brute_force_with_ties_and_a_hot_group(spark):
     rows = [(int(g), f"i{rng.integers(3000)}", float(rng.integers(200)) / 10, i) for i, g in enumerate(np.where(rng.random(9000) < 0.5, 1, rng.integers(0, 60, 9000)))]
     rows += rows[:50] + [(None, "a", 1.0, -1), (2, None, 0.0, -2), (2, "b", None, -3), (2, "b", float("nan"), -4)]
     df = spark.createDataFrame(rows, "grp long, item string, v double, row_id long").withColumns({"g": F.lit("clash"), "score": F.lit("clash"), "rank": F.lit("clash")})
-    got = topn.top_n(df, ["grp"], "item", F.col("v"), "row_id", 5, row_group_bytes=4096)
+    got = topn.top_n(df, ["grp"], "item", F.col("v"), "row_id", 5, rows_each=100)
     assert {(r["g"], r["row_id"]) for r in got.collect()} == _brute_top(rows, 5)
     assert topn.top_n(df.limit(0), ["grp"], "item", F.col("v"), "row_id", 5).count() == 0
     two = topn.top_n(df, ["grp", "g"], "item", F.col("v"), "row_id", 1)
@@ -121,15 +162,19 @@ def test_top_n_equals_brute_force_with_ties_and_a_hot_group(spark):
         topn.top_n(df, ["grp"], "item", F.col("v"), "row_id", 0)
 
 
-def test_row_groups_are_skipped(spark):
-    df = spark.range(60000).selectExpr("id % 2 as grp", "cast(id as string) as item", "cast(pmod(hash(id), 100000) as double) as v", "id as row_id")
-    path = topn.cluster(df.coalesce(1), ["grp"], "item", F.col("v"), "row_id", row_group_bytes=16384)
-    read = skipped = 0
-    for f in spark.read.parquet(path).inputFiles():
-        rows, a, b = topn.best_of_file(f, 5)
-        read, skipped = read + a, skipped + b
-        assert len(rows) <= 5 * 2 * a
-    assert skipped > 3 * read
+def test_row_groups_are_skipped_across_files(spark):
+    """One hot group in several files, many repeats of the best items, small groups between: nothing is lost."""
+    hot = spark.range(40000).selectExpr("500 as grp", "cast(pmod(hash(id), 9000) as string) as item", "cast(pmod(hash(id), 9000) div 3 as double) as v", "id as row_id")
+    same = spark.range(3000).selectExpr("501 as grp", "cast(id % 3 as string) as item", "1.0 as v", "100000 + id as row_id")
+    small = spark.range(2000).selectExpr("id % 900 as grp", "cast(id as string) as item", "cast(id as double) as v", "200000 + id as row_id")
+    df = hot.union(same).union(small)
+    with temporary_conf(spark, {"spark.sql.adaptive.coalescePartitions.enabled": False}):  # several files
+        got, parts = topn.top_n_and_reads(df, ["grp"], "item", F.col("v"), "row_id", 5, rows_each=500)
+    rows = [tuple(r) for r in df.select("grp", "item", F.col("v").cast("double"), "row_id").collect()]
+    assert {(r["g"], r["row_id"]) for r in got.collect()} == _brute_top(rows, 5)
+    parts = parts.collect()
+    assert sum(r["n_rows"] for r in parts) == 45000 and sum(not r["is_read"] for r in parts) > 60 and len({r["path"] for r in parts if r["g"] == 500}) > 1
+    assert all(r["g"] == 500 for r in parts if not r["is_read"])  # group 501 has three items only, so its N-th score is unknown
 
 
 # Problem 4 ------------------------------------------------------------------------------------------------
@@ -153,6 +198,17 @@ def test_sketch_edges(spark):
     got = {r["k"]: r for r in sketch.percentiles(sketch.sketch(df, ["k"], "v"), ["k"], {"lo": 0.0, "mid": 0.5, "hi": 1.0}).collect()}
     assert set(got) == {"b", None} and (got["b"]["lo"], got["b"]["mid"], got["b"]["hi"]) == (-math.inf, 0.0, math.inf) and abs(got[None]["hi"] - 2) <= 0.02
     assert sketch.sketch(df.limit(0), ["k"], "v").count() == 0
+    assert {r["k"]: (r["lo"], r["mid"], r["hi"]) for r in sketch.exact_percentiles(df, sketch.sketch(df, ["k"], "v"), ["k"], "v", {"lo": 0.0, "mid": 0.5, "hi": 1.0}).collect()} == {"b": (-math.inf, 0.0, math.inf), None: (2.0, 2.0, 2.0)}
+
+
+def test_hot_keys_are_dealt_to_parts_and_tiny_values_keep_their_error(spark):
+    rows = spark.range(20000).selectExpr("id as run", "if(id % 3 = 0, null, 'cold' || id % 500) as k", "(id + 1) * 1e-12 as v")
+    placed = sketch.placed_once(rows.union(rows.limit(500)), ["k"], "run", hot_rows=500, look=4)
+    assert placed.count() == 20000 and placed.where("k is null").select("__salt").distinct().count() > 5 and placed.where("k is not null and __salt > 0").count() == 0
+    parts = sketch.sketch(placed, ["k", "__salt"], "v")
+    near = {r["k"]: r["m"] for r in sketch.percentiles(parts, ["k"], {"m": 0.5}).collect()}
+    exact = {r["k"]: r["m"] for r in sketch.exact_percentiles(placed, sketch.merge(parts, ["k"]), ["k"], "v", {"m": 0.5}).collect()}
+    assert len(near) == 501 and exact[None] == pytest.approx(9999e-12 + 1e-12) and all(abs(near[k] - exact[k]) <= 0.01 * (1 + 1e-9) * exact[k] for k in near)
     with pytest.raises(ValueError):
         sketch.gamma(1.0)
 
@@ -162,6 +218,8 @@ def test_sketch_edges(spark):
 
 def test_words():
     assert text.words("<b>Éc</b>o​n­os ﬁn! 42ª, İstanbul") == ["econos", "fin", "42a", "istanbul"]
+    assert text.words(f'one <span style="{"x" * 5000}">two</span> <!-- not <b>this --> three &CounterClockwiseContourIntegral; <!-- open') == ["one", "two", "three", "open"]
+    assert text.words("<!--" * 50000 + " a") == ["a"]
     assert text.words(None) == [] and text.words("") == [] and text.words("a &amp; b &lt;") == ["a", "b"] and text.words("1 < 2 and 3 > 2") == ["1", "2", "and", "3", "2"]
 
 
@@ -246,6 +304,15 @@ def test_weights_shift_inclusion_and_empty_mixes(spark):
     drawn, report = _mix(spark, docs, [("s", 1.0, 1)], total=8000)
     odd = sum(r["doc_id"] % 2 for r in drawn)
     assert abs(report["s"]["tokens"] - 8000) <= 10 and 0.72 < odd / len(drawn) < 0.88
+    # 500 documents of weight 40 would pass 1: they are certain, and the rest of the quota goes to the others.
+    docs = [(i, "s", 10, 40.0 if i < 500 else 1.0) for i in range(4000)]
+    drawn, report = _mix(spark, docs, [("s", 1.0, 1)], total=22500)
+    ids = {r["doc_id"] for r in drawn}
+    assert set(range(500)) <= ids and abs(len(ids) - 2250) <= 1
+    near = [(i, "s", 10, 4.0 if i < 1000 else 1.0) for i in range(2000)]
+    listed = spark.createDataFrame(near, "doc_id long, key string, n_tokens long, weight double").withColumn("key", F.lit("s"))
+    c = mixing._odds(listed, {"s": 15000.0}, {"s": {"weighted": 50000.0}})["s"]
+    assert 1000 + 1000 * c == pytest.approx(1500)
     drawn, report = _mix(spark, [], [("s", 1.0, 1)])
     assert drawn == [] and report["s"]["tokens"] == 0
     assert _mix(spark, docs, [])[0] == []
@@ -278,13 +345,34 @@ def test_harmless(matcher, t):
 def test_score_edges(spark):
     df = spark.createDataFrame([(1, "fuck you"), (2, None), (3, ""), (4, "fine " * 50000 + "fuck you"), (1, "fuck you")], "doc_id long, body string").withColumn("text", F.lit("clash"))
     got = {r["doc_id"]: r for r in offence.score(df, "body").collect()}
-    assert [got[i]["offensive"] for i in (1, 2, 3, 4)] == [True, False, False, True] and got[1]["score"] > got[4]["score"] > 0 and got[2]["n_words"] == 0
+    assert [got[i]["offensive"] for i in (1, 2, 3, 4)] == [True, False, False, False] and got[1]["score"] > got[4]["score"] > 0 and got[2]["n_words"] == 0
     assert got[4]["score"] == round(offence.strength(got[4]["evidence"], got[4]["n_words"]), 6)
     assert offence.score(df.limit(0), "body").count() == 0
     with pytest.raises(ValueError):
         offence.score(df.withColumn("score", F.lit(1)), "body")
 
 
+def _is_offensive(matcher, t):
+    found, n = matcher.hits(t)
+    return offence.strength(sum(found.values()), n) >= offence.OFFENSIVE
+
+
+def test_precision_and_recall_on_sentences_that_took_no_part(matcher):
+    hit = [_is_offensive(matcher, t) for t in sentences.lines(sentences.OFFENSIVE)]
+    false = [_is_offensive(matcher, t) for t in sentences.lines(sentences.HARMLESS)]
+    assert np.mean(hit) >= 0.9 and sum(hit) / (sum(hit) + sum(false)) >= 0.9
+
+
+@pytest.mark.parametrize("t", sentences.lines(sentences.CHECKED) + sentences.lines(sentences.HARMLESS)[:8] + ["Tu es mon ami. Tu es gentil. Tu es libre.", "Le pauvre enfant avait un chien pauvre", "La guerra di Troia", "the prick of the needle", "horny toads"])
+def test_everyday_sentences_are_harmless(matcher, t):
+    assert not _is_offensive(matcher, t)
+
+
+def test_longer_texts_need_more(matcher):
+    few, many = "word " * 3000 + "you asshole", "word " * 3000 + "you asshole, fuck you, kill yourself, you stupid moron"
+    assert not _is_offensive(matcher, few) and _is_offensive(matcher, many) and _is_offensive(matcher, "word " * 300 + "you asshole")
+
+
 def test_agrees_with_the_raters(spark, sf):
     found = {r[0] for r in queries.QUERIES["p8_found"](spark, sf).collect()}
     v = spark.read.parquet(f"{sf}/doc_labels.parquet").toPandas()

@@ -34,6 +34,13 @@ def promote(a: str, b: str) -> str:
     return "decimal" if {a, b} == {"integer", "decimal"} else "text"
 
 
+def promoted(a: Column, b: Column) -> Column:
+    """promote() of two columns of kinds; a null is the kind of nulls."""
+    x, y = (F.coalesce(c, F.lit("null")) for c in (a, b))
+    both = lambda *kinds: x.isin(*kinds) & y.isin(*kinds)
+    return F.when(x == y, x).when(x == "null", y).when(y == "null", x).when(both("integer", "decimal"), F.lit("decimal")).otherwise(F.lit("text"))
+
+
 def fold(kinds: Iterable[str]) -> str:
     """The kind that holds all of the given ones; null of none."""
     result = "null"
@@ -92,10 +99,14 @@ def _exploded(lines: DataFrame) -> DataFrame:
     Readable is a line that is a JSON object of distinct keys. Arrays, bare values, broken and
     null lines have no fields.
     """
-    view = lines.withColumn("__v", F.try_parse_json("payload")).drop("payload").where(F.schema_of_variant("__v").startswith("OBJECT"))
+    view = _readable(lines)
     return view.lateralJoin(_explode(view)).drop("__v", "pos").where(F.col("key").isNotNull())
 
 
+def _readable(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("__v", F.try_parse_json("payload")).drop("payload").where(F.schema_of_variant("__v").startswith("OBJECT"))
+
+
 def _explode(view: DataFrame) -> DataFrame:
     return view.sparkSession.tvf.variant_explode(F.col("__v").outer())
 
@@ -113,6 +124,14 @@ def _content_kind(value: Column) -> Column:
     return F.when(_kind(value) == "text", said).otherwise(_kind(value))
 
 
+def parsed(lines: DataFrame, record: str = "run_id") -> DataFrame:
+    """(file_id, record, key, kind, value): the distinct cells of the readable lines, value as lower-case text. Payloads are parsed here only."""
+    named = F.try_variant_get(F.col("__v"), f"$['{record}']", "string").alias("record")
+    view = _readable(lines.select("file_id", "payload")).select("file_id", named, "__v")
+    cells = view.lateralJoin(_explode(view)).where(F.col("key").isNotNull())
+    return cells.select("file_id", "record", "key", _kind(F.col("value")).alias("kind"), F.lower(F.col("value").cast("string")).alias("value"))
+
+
 def file_fields(lines: DataFrame, by_content: bool = False) -> DataFrame:
     """(file_id, key, kind, n): counts of the kinds of each key's values; kind null for nulls.
 
@@ -145,22 +164,19 @@ def _related(a: Column, b: Column) -> Column:
 UNITS = (60.0, 1000.0, 1024.0, 3600.0, 1e6, 1e9)
 
 
-def _renames(lines: DataFrame, pairs: DataFrame, record: str) -> DataFrame:
+def _renames(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     """(file_id, old, new) for fields whose values in repeated records carry on those of a gone field.
 
-    pairs has (file_id, previous, old, old_kind, new, new_kind), every gone field of a file beside
-    every new one. Records are matched by the value of the field named record.
+    cells are parsed() lines; pairs has (file_id, previous, old, old_kind, new, new_kind), every
+    gone field of a file beside every new one. Values are compared as the promoted kind of both.
     """
-    base = lines.select("file_id", F.try_variant_get(F.try_parse_json("payload"), f"$.{record}", "string").alias("record"), "payload").where(F.col("record").isNotNull())
     wanted_new = pairs.select("file_id", F.col("new").alias("key")).distinct()
     wanted_old = pairs.select(F.col("previous").alias("file_id"), F.col("old").alias("key"), F.col("file_id").alias("next")).distinct()
+    known = cells.where(F.col("record").isNotNull() & F.col("value").isNotNull()).select("file_id", "record", "key", "value")
 
     def values(wanted: DataFrame, side: str) -> DataFrame:
-        files = wanted.select("file_id").distinct()
-        cells = _exploded(base.join(files, "file_id", "left_semi")).join(wanted, ["file_id", "key"])
-        text = F.col("value").try_cast("string") if hasattr(Column, "try_cast") else F.col("value").cast("string")
         owner = F.col("next") if "next" in wanted.columns else F.col("file_id")
-        return cells.select(owner.alias("file_id"), "record", F.col("key").alias(side), F.lower(text).alias(f"{side}_value")).where(F.col(f"{side}_value").isNotNull()).distinct()
+        return known.join(wanted, ["file_id", "key"]).select(owner.alias("file_id"), "record", F.col("key").alias(side), F.col("value").alias(f"{side}_value")).distinct()
 
     both = values(wanted_new, "new").join(values(wanted_old, "old"), ["file_id", "record"])
     x, y = F.col("old_value").try_cast("double"), F.col("new_value").try_cast("double")
@@ -184,43 +200,48 @@ def _renames(lines: DataFrame, pairs: DataFrame, record: str) -> DataFrame:
 
 
 def changes(lines: DataFrame, record: str = "run_id") -> DataFrame:
-    """(feed, position, file_id, previous, field_name, old_name, change_kind, old_kind, new_kind).
+    """(feed, position, file_id, previous, field_name, old_name, change_kind, old_kind, new_kind, union_kind).
 
     lines has file_id, feed, written_at and payload, a JSON object per line. A file is compared
     with the one written before it in its feed (ties by file_id; a null written_at comes first;
     a null feed is a feed). change_kind is added, removed, renamed or retyped; a field both
     renamed and retyped gives two rows. A file without readable lines is left out of the chain.
-    Repeated lines and the order of lines and keys don't matter; an empty table gives no rows.
+    union_kind is the promotion of both kinds, in which the two
+    files can be read as one. Repeated lines and the order of lines and keys don't matter; an
+    empty table gives no rows.
     """
+    cells = written(parsed(lines, record), "cells")
     # Files are many fewer than lines; a feed's files are numbered without gathering them.
-    counts = written(file_fields(lines), "fields")
-    fields = written(majority(counts), "kinds")
+    fields = written(majority(cells.groupBy("file_id", "key", "kind").agg(F.count(F.lit(1)).alias("n"))), "kinds")
     heads = lines.groupBy("file_id").agg(F.min("feed").alias("feed"), F.min("written_at").alias("written_at")).join(fields.select("file_id").distinct(), "file_id", "left_semi")
-    files = written(numbered(heads, ["feed"], ["written_at", "file_id"], F.to_date("written_at")), "files")
+    files = written(numbered(heads, ["feed"], ["written_at", "file_id"], F.struct(F.to_date("written_at"), F.when(F.col("written_at").isNull(), F.floor(F.col("file_id") / 4096)))), "files")
     one, two = files.alias("a"), files.alias("b")
     chain = one.join(two, F.col("a.feed").eqNullSafe(F.col("b.feed")) & (F.col("a.position") == F.col("b.position") + 1))
     chain = written(chain.select("a.feed", "a.position", "a.file_id", F.col("b.file_id").alias("previous")), "chain")
     now = fields.join(chain, "file_id").select("file_id", "key", F.lit(1).alias("now"), F.col("kind").alias("new_kind"), F.lit(None).cast("int").alias("then"), F.lit(None).cast("string").alias("old_kind"))
     then = fields.withColumnRenamed("file_id", "previous").join(chain, "previous").select("file_id", "key", F.lit(None).cast("int").alias("now"), F.lit(None).cast("string").alias("new_kind"), F.lit(1).alias("then"), F.col("kind").alias("old_kind"))
     beside = now.union(then).groupBy("file_id", "key").agg(*[F.max(c).alias(c) for c in ("now", "new_kind", "then", "old_kind")])
-    beside = written(beside.where(F.col("now").isNull() | F.col("then").isNull() | (F.col("new_kind") != F.col("old_kind"))), "beside")
+    # A kind changed if the lattice needs a wider one than either file's; the kind of nulls is below all, so it never does.
+    wider = promoted(F.col("old_kind"), F.col("new_kind"))
+    beside = beside.withColumn("retyped", (wider != F.coalesce("old_kind", wider)) | (wider != F.coalesce("new_kind", wider)))
+    beside = written(beside.where(F.col("now").isNull() | F.col("then").isNull() | F.col("retyped")), "beside")
     new = beside.where("then is null").select("file_id", F.col("key").alias("new"), "new_kind")
     old = beside.where("now is null").select("file_id", F.col("key").alias("old"), "old_kind")
     pairs = written(new.join(old, "file_id").join(chain.select("file_id", "previous"), "file_id"), "pairs")
-    renamed = written(_renames(lines, pairs, record), "renamed")
+    renamed = written(_renames(cells, pairs), "renamed")
     both = renamed.join(pairs, ["file_id", "old", "new"])
     none = F.lit(None).cast("string")
     rows = [
         new.join(renamed, ["file_id", "new"], "left_anti").select("file_id", F.col("new").alias("field_name"), none.alias("old_name"), F.lit("added").alias("change_kind"), none.alias("old_kind"), "new_kind"),
         old.join(renamed, ["file_id", "old"], "left_anti").select("file_id", F.col("old"), none, F.lit("removed"), "old_kind", none),
         both.select("file_id", "new", "old", F.lit("renamed"), "old_kind", "new_kind"),
-        both.where("old_kind <> new_kind").select("file_id", "new", "old", F.lit("retyped"), "old_kind", "new_kind"),
-        beside.where("now is not null and then is not null").select("file_id", "key", none, F.lit("retyped"), "old_kind", "new_kind"),
+        both.where((wider != F.coalesce("old_kind", wider)) | (wider != F.coalesce("new_kind", wider))).select("file_id", "new", "old", F.lit("retyped"), "old_kind", "new_kind"),
+        beside.where("now is not null and then is not null and retyped").select("file_id", "key", none, F.lit("retyped"), "old_kind", "new_kind"),
     ]
     log = rows[0]
     for r in rows[1:]:
         log = log.union(r)
-    return log.join(chain, "file_id").select("feed", "position", "file_id", "previous", "field_name", "old_name", "change_kind", "old_kind", "new_kind")
+    return log.join(chain, "file_id").select("feed", "position", "file_id", "previous", "field_name", "old_name", "change_kind", "old_kind", "new_kind", promoted(F.col("old_kind"), F.col("new_kind")).alias("union_kind"))
 
 
 def canonical_names(links: Iterable[tuple[str, str]], preferred: Sequence[str]) -> dict[str, str]:

@@ -206,9 +206,8 @@ def changes(lines: DataFrame, record: str = "run_id") -> DataFrame:
     with the one written before it in its feed (ties by file_id; a null written_at comes first;
     a null feed is a feed). change_kind is added, removed, renamed or retyped; a field both
     renamed and retyped gives two rows. A file without readable lines is left out of the chain.
-    union_kind is the promotion of both kinds, in which the two
-    files can be read as one. Repeated lines and the order of lines and keys don't matter; an
-    empty table gives no rows.
+    union_kind is the promotion of both kinds, in which the two files can be read as one.
+    Repeated lines and the order of lines and keys don't matter; an empty table gives no rows.
     """
     cells = written(parsed(lines, record), "cells")
     # Files are many fewer than lines; a feed's files are numbered without gathering them.

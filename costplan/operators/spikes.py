@@ -8,8 +8,9 @@ Readings are looked at in order of time within a source. Three rules flag them:
   (seasonal) level on both sides lies beyond the source's tail cutoff.
 
 The cutoff is found by peaks over threshold: a generalised Pareto distribution is fitted to the
-excesses of the absolute residuals over their 90th percentile and gives the value passed with a
-fixed risk. An exact check follows: a spike differs from the readings around it at least `fold`
+excesses of the absolute seasonal residuals over their 90th percentile and gives the value passed
+with a fixed risk. A seasonal residual is the residual less its median at that hour of the day, on
+working days or weekends, for sources with enough readings to tell. An exact check follows: a spike differs from the readings around it at least `fold`
 times and by at least `scatters` times the source's usual relative scatter.
 """
 
@@ -144,7 +145,7 @@ def _judged(stuck: int):
         ids, x = ids[keep], t["x"].to_numpy()[keep]
         impossible, held, residual, excursion = judge(ids, x, stuck)
         core = np.flatnonzero(t["core"].to_numpy(zero_copy_only=False)[keep])
-        out = t.take(pa.array(keep[core])).select(["row_id", "source"])
+        out = t.take(pa.array(keep[core])).select(["row_id", "source", "season"])
         for name, v in (("impossible", impossible), ("stuck", held), ("residual", residual), ("excursion", excursion)):
             out = out.append_column(name, pa.array(v[core]))
         return out.combine_chunks().to_batches()[0] if out.num_rows else pa.RecordBatch.from_pylist([], schema=out.schema)
@@ -153,32 +154,55 @@ def _judged(stuck: int):
 
 
 def judged_readings(df: DataFrame, source: str, time: str, value: str, row_id: str, stuck: int = 6, target: int = 50_000, cell_s: int = 600) -> DataFrame:
-    """(row_id, source, impossible, stuck, residual, excursion) for every reading of df.
+    """(row_id, source, season, impossible, stuck, residual, excursion) for every reading of df.
 
     A reading has a source and a value; rows without either are no readings. Rows of the same
     row_id and time count once; ties in time are ordered by row_id, a null time comes first. A
     source of more than target readings is cut into chunks of whole time cells that borrow
-    readings from their neighbours, so no task holds a whole hot source.
+    readings from their neighbours, so no task holds a whole hot source. season is the hour of
+    the day, plus 24 at weekends; -1 without a time.
     """
     seconds = F.unix_timestamp(F.col(time).cast("timestamp"))
-    rows = df.select(F.col(row_id).cast("long").alias("row_id"), F.col(source).cast("string").alias("source"), F.col(time).alias("t"), F.col(value).cast("double").alias("x"), F.coalesce(F.floor(seconds / cell_s), F.lit(-1)).alias("cell"))
+    season = F.coalesce(F.hour(time) + F.when(F.dayofweek(time).isin(1, 7), 24).otherwise(0), F.lit(-1)).cast("byte")
+    # Readings without a time come before all others, in the order of their ids.
+    untimed = F.floor(F.col(row_id).cast("long") / 4096) - F.lit(2**60)
+    rows = df.select(F.col(row_id).cast("long").alias("row_id"), F.col(source).cast("string").alias("source"), F.col(time).alias("t"), F.col(value).cast("double").alias("x"), season.alias("season"), F.coalesce(F.floor(seconds / cell_s), untimed).alias("cell"))
     rows = rows.where(F.col("source").isNotNull() & F.col("x").isNotNull())
     spots = _chunks(rows, target, cell_s)
     spread = rows.join(spots, ["source", "cell"], "left").withColumns({"chunk": F.coalesce("chunk", F.lit(0)).cast("long"), "core": F.coalesce("core", F.lit(True))})
-    placed = spread.select("source", "chunk", "t", "row_id", "x", "core").repartition("source", "chunk").sortWithinPartitions("source", "chunk", "t", "row_id")
-    return placed.drop("t").mapInArrow(_judged(stuck), "row_id long, source string, impossible boolean, stuck boolean, residual double, excursion double")
+    placed = spread.select("source", "chunk", "t", "row_id", "season", "x", "core").repartition("source", "chunk").sortWithinPartitions("source", "chunk", "t", "row_id")
+    return placed.drop("t").mapInArrow(_judged(stuck), "row_id long, source string, season byte, impossible boolean, stuck boolean, residual double, excursion double")
+
+
+def seasonal(judged: DataFrame, tame: float, least: int = 1000, least_each: int = 20, bins_per_ln: int = 400) -> DataFrame:
+    """judged with seasonal_residual and seasonal_excursion: less the median residual of the source's season.
+
+    Sources of fewer than `least` residuals, and seasons of fewer than least_each, have a level of
+    0. Residuals beyond `tame` don't count for the level. Medians come from counts of bins.
+    """
+    known = judged.where(~F.isnan("residual"))
+    large = written(known.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("source"), "large")
+    bins = known.where(F.abs("residual") < tame).join(large, "source").groupBy("source", "season", F.floor(F.col("residual") * bins_per_ln).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("source", "season")
+    at = bins.withColumns({"upto": F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "all": F.sum("n").over(own)})
+    level = F.min(F.when(F.col("upto") * 2 >= F.col("all"), (F.col("bin") + 0.5) / bins_per_ln))
+    levels = written(at.where(F.col("all") >= least_each).groupBy("source", "season").agg(level.alias("level")), "seasons")
+    level = F.coalesce("level", F.lit(0.0))
+    shifted = {"seasonal_residual": F.col("residual") - level, "seasonal_excursion": F.when(F.col("excursion") != 0, F.col("excursion") - level).otherwise(0.0)}
+    return judged.join(levels, ["source", "season"], "left").withColumns(shifted).drop("level", "season")
 
 
 def tail_cutoffs(judged: DataFrame, fold: float, scatters: float, risk: float, bins_per_ln: int = 400) -> DataFrame:
     """(source, n_residuals, scatter, pot_cutoff, rule_cutoff) from the absolute residuals.
 
     Residuals are counted in bins of 1/400 in ln, so quantiles are mergeable counts, a hot
-    source is combined on the map side and a source has a few thousand bins at most. Excesses
-    beyond the rule's cutoff (the spikes themselves) don't take part in the fit.
+    source is combined on the map side and a source has a few thousand bins at most. The scatter,
+    and with it rule_cutoff, is that of the plain residuals; the tail is fitted to the seasonal
+    ones. Residuals beyond the rule's cutoff (the spikes themselves) don't take part in the fit.
     """
     width = 1.0 / bins_per_ln
-    r = F.abs("residual")
-    bins = judged.where(~F.isnan("residual")).groupBy("source", F.least(F.floor(r / width), F.lit(20 * bins_per_ln)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    bin_of = lambda c: F.least(F.floor(F.abs(c) / width), F.lit(20 * bins_per_ln))
+    bins = judged.where(~F.isnan("residual")).groupBy("source", bin_of("residual").alias("bin"), bin_of("seasonal_residual").alias("sbin")).agg(F.count(F.lit(1)).alias("n"))
     own = Window.partitionBy("source")
     upto = F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     at = bins.withColumns({"upto": upto, "all": F.sum("n").over(own), "mid": (F.col("bin") + 0.5) * width})
@@ -194,7 +218,9 @@ def tail_cutoffs(judged: DataFrame, fold: float, scatters: float, risk: float, b
     quant = at.groupBy("source").agg(F.max("all").alias("n_residuals"), (quantile(0.5) * usual).alias("scatter"))
     quant = quant.withColumn("rule_cutoff", F.greatest(F.lit(math.log(fold)), scatters * F.col("scatter")))
     # The threshold too is that of the usual residuals, else a source with many spikes hides them.
-    tame = at.join(quant.select("source", "rule_cutoff"), "source").where(F.col("mid") < F.col("rule_cutoff")).withColumns({"upto": upto, "all": F.sum("n").over(own)})
+    usual_ones = at.join(quant.select("source", "rule_cutoff"), "source").where(F.col("mid") < F.col("rule_cutoff"))
+    usual_ones = usual_ones.groupBy("source", F.col("sbin").alias("bin")).agg(F.sum("n").alias("n"))
+    tame = usual_ones.withColumns({"upto": upto, "all": F.sum("n").over(own), "mid": (F.col("bin") + 0.5) * width})
     quant = quant.join(tame.groupBy("source").agg(F.max("all").alias("n_tame"), quantile(0.9).alias("u")), "source", "left")
     y = F.col("mid") - F.col("u")
     beyond = tame.join(quant.select("source", "u"), "source").where(y > 0)
@@ -210,17 +236,18 @@ def tail_cutoffs(judged: DataFrame, fold: float, scatters: float, risk: float, b
 def implausible(df: DataFrame, source: str, time: str, value: str, row_id: str, fold: float = 1.6, scatters: float = 8.0, risk: float = 1e-4, stuck: int = 6, target: int = 50_000, slack: float = 0.8, fold_slack: float = 0.97) -> DataFrame:
     """(row_id, source, reason) of the readings that can't be true; reason is the first that applies.
 
-    A spike must pass the fitted tail cutoff and, as an exact check, `fold` and `scatters` usual
-    scatters, both with a slack for the uncertainty of the estimated level and scatter. A source with too few
+    A spike must pass the tail cutoff fitted to the seasonal residuals at the given risk and, as
+    an exact check, `fold` and `scatters` usual scatters, both with a slack for the uncertainty of the estimated level and scatter. A source with too few
     readings for a fit is held against the check alone. An empty table gives no rows; all other
     columns are ignored.
     """
     judged = written(judged_readings(df, source, time, value, row_id, stuck, target), "judged")
+    judged = seasonal(judged, math.log(fold))
     floor = math.log(fold * fold_slack)
     named = judged.where(F.col("impossible") | F.col("stuck")).select("row_id", "source", F.when(F.col("impossible"), "impossible").otherwise("stuck").alias("reason"))
     cut = tail_cutoffs(judged, fold * fold_slack, scatters * slack, risk)
     far = judged.where(~F.col("impossible") & ~F.col("stuck") & (F.abs("excursion") >= floor))
-    beyond = lambda c: F.abs("excursion") >= F.coalesce(c, F.lit(floor))
-    candidates = far.join(cut, "source", "left").where(beyond("pot_cutoff"))
-    spikes = candidates.where(beyond("rule_cutoff"))
+    beyond = lambda x, c: F.abs(x) >= F.coalesce(c, F.lit(floor))
+    candidates = far.join(cut, "source", "left").where(beyond("seasonal_excursion", "pot_cutoff"))
+    spikes = candidates.where(beyond("excursion", "rule_cutoff"))
     return named.unionByName(spikes.select("row_id", "source", F.lit("spike").alias("reason")))

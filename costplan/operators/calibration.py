@@ -6,7 +6,7 @@ import json
 import os
 import time
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -206,27 +206,75 @@ def predict_gbt(model, df: DataFrame, features: Sequence[str] = VECTOR, name: st
     return model.transform(_assembled(df, features)).withColumn(name, F.exp("prediction")).drop("features")
 
 
-def fit_pairwise(df: DataFrame, target: str, features: Sequence[str] = VECTOR, ridge: float = 0.01, neighbours: int = 8):
-    """Linear ranking weights from pairs of a query's plans, weighted by their relative gap.
+@dataclass(frozen=True)
+class Ranking:
+    """Linear scores on standardised ln(1 + feature) that order a query's plans, brought to the target's scale."""
 
-    A plan is paired with those that follow it at distances 1, 2, 4, ... in the order of a hash,
-    so a query of n plans gives n log n pairs at most and never all of them. A data set without
-    any pair gives weights of zero.
-    """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+    features: tuple[str, ...]
+    mean: tuple[float, ...]
+    scale: tuple[float, ...]
+    weights: tuple[float, ...]
+    factor: float
+    intercept: float
+
+    def score(self) -> Column:
+        z = [(F.log1p(F.greatest(F.col(f), F.lit(0))) - F.lit(m)) / F.lit(s) for f, m, s in zip(self.features, self.mean, self.scale)]
+        return sum((F.lit(w) * x for w, x in zip(self.weights, z)), F.lit(0.0))
+
+    def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        return df.withColumn(name, F.greatest(F.lit(0.001), self.score() * F.lit(self.factor) + F.lit(self.intercept)))
 
+    def to_dict(self) -> dict:
+        return asdict(self)
+
+
+def query_pairs(df: DataFrame, target: str, columns: Sequence[str], all_pairs: int = 64) -> DataFrame:
+    """(weight, columns): pairs of plans of one query with different targets, columns of the better less those of the worse.
+
+    A query of up to all_pairs plans gives every pair. Of a larger one each plan is paired with
+    those that follow it at distances 1, 2, 4, ... in the order of a hash, through the whole
+    query: n log n pairs that connect all its plans. weight is the gap over the better target.
+    """
     from costplan.operators.ordered import numbered
 
-    base = df.where(F.col(target) > 0).select("query_id", "plan_id", F.col(target).alias("y"), *[F.log1p(F.greatest(F.coalesce(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0))).alias(f) for f in features])
-    h = base.withColumn("h", F.md5(F.concat_ws("|", F.col("query_id").cast("string"), F.col("plan_id").cast("string"))))
-    placed = numbered(h, ["query_id"], ["h", "plan_id"], F.substring("h", 1, 2), "r")
-    ahead = placed.withColumn("r", F.explode(F.array(*[F.col("r") - 2**i for i in range(neighbours)])))
-    pairs = placed.alias("a").join(ahead.alias("b"), ["query_id", "r"]).where("a.y <> b.y")
-    gap = F.abs(F.col("a.y") - F.col("b.y")) / F.greatest(F.col("a.y"), F.col("b.y"))
-    data = pairs.select((F.col("a.y") > F.col("b.y")).cast("double").alias("label"), gap.alias("w"), *[(F.col(f"a.{f}") - F.col(f"b.{f}")).alias(f) for f in features])
-    if data.select("label").distinct().count() < 2:
-        return [0.0] * len(features)
-    vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(data)
-    model = LogisticRegression(weightCol="w", fitIntercept=False, regParam=ridge, standardization=True).fit(vectors)
-    return [float(x) for x in model.coefficients]
+    h = df.where((F.col(target) > 0) & F.col("query_id").isNotNull()).select("query_id", F.col(target).alias("__y"), *columns).withColumn("__h", F.xxhash64("query_id", "__y", *columns))
+    placed = numbered(h, ["query_id"], ["__h"], F.shiftright("__h", 52), "__r")
+    sizes = placed.groupBy("query_id").agg(F.max("__r").alias("__n"))
+    steps = F.when(F.col("__n") <= all_pairs, F.sequence(F.lit(1).cast("long"), F.col("__n"))).otherwise(F.transform(F.sequence(F.lit(0), F.floor(F.log2("__n")).cast("int")), lambda i: F.pow(F.lit(2.0), i).cast("long")))
+    ahead = placed.join(sizes, "query_id").withColumn("__r", F.explode(F.transform(F.filter(steps, lambda d: d + F.col("__r") <= F.col("__n")), lambda d: d + F.col("__r"))))
+    pairs = placed.alias("a").join(ahead.alias("b"), ["query_id", "__r"]).where("a.__y <> b.__y")
+    sign = F.when(F.col("a.__y") < F.col("b.__y"), 1.0).otherwise(-1.0)
+    gap = F.abs(F.col("a.__y") - F.col("b.__y")) / (F.least("a.__y", "b.__y") + 1e-6)
+    return pairs.select(gap.alias("weight"), *[(sign * (F.col(f"a.{c}") - F.col(f"b.{c}"))).alias(c) for c in columns])
+
+
+def fit_ranking(df: DataFrame, target: str, features: Sequence[str] = VECTOR, step: float = 0.01, rounds: int = 150, l2: float = 0.01, sigma: float = 1.0, momentum: float = 0.9, all_pairs: int = 64, most_pairs: int = 200_000) -> Ranking:
+    """Pairwise logistic ranking: starts from the log-ridge weights, descends with momentum, is scaled to the target.
+
+    The descent runs on the driver over at most about most_pairs pairs, a sample by hash where
+    there are more; means, deviations and the final scale are those of all rows. Without any pair
+    the log-ridge weights stay.
+    """
+    start = fit_log_ridge(df, target, features)
+    names = [f"z{i}" for i in range(len(features))]
+    logs = [((F.log1p(F.greatest(F.coalesce(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0))) - F.lit(m)) / F.lit(s)).alias(n) for n, f, m, s in zip(names, features, start.mean, start.scale)]
+    base = df.where(F.col(target) > 0).select("query_id", F.col(target), *logs)
+    sizes = base.where(F.col("query_id").isNotNull()).groupBy("query_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    total = sizes.agg(F.sum(F.when(F.col("n") <= all_pairs, F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.floor(F.log2("n") + 1)))).first()[0] or 0.0
+    pairs = query_pairs(base, target, names, all_pairs)
+    if total > most_pairs:
+        pairs = pairs.where(F.pmod(F.xxhash64("weight", *names), F.lit(1_000_000)) < int(1e6 * most_pairs / total))
+    found = pairs.toPandas()
+    w = np.array(start.weights[1:], float)
+    if len(found):
+        gap, d = found["weight"].to_numpy(float), found[names].to_numpy(float)
+        velocity = np.zeros_like(w)
+        for _ in range(rounds):
+            # d holds better less worse: its score should be negative.
+            push = gap * sigma / (1 + np.exp(np.clip(-sigma * (d @ w), -500, 500)))
+            velocity = momentum * velocity + step * ((push @ d) + l2 * w) / len(d)
+            w = w - velocity
+    model = Ranking(tuple(features), start.mean, start.scale, tuple(float(x) for x in w), 1.0, 0.0)
+    m = df.where(F.col(target) > 0).withColumn("__s", model.score()).agg(F.avg(target).alias("y"), F.stddev_pop(target).alias("ys"), F.avg("__s").alias("s"), F.stddev_pop("__s").alias("ss")).first()
+    factor = m["ys"] / m["ss"] if m["ss"] and m["ss"] > 1e-6 else 1.0
+    return replace(model, factor=float(factor), intercept=float((m["y"] or 0.0) - factor * (m["s"] or 0.0)))

@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from costplan.operators.ordered import running_total
+from costplan.functions import geometric_mean
+from costplan.operators.ordered import numbered, running_total
 from costplan.session import written
 
 
+def _cell(v: Column) -> Column:
+    """A number that grows with v, in steps of about 1/256 of its size."""
+    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * 256)
+
+
 def tie_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """df with 0-based ranks of value in its group, ties averaged.
 
@@ -19,9 +27,7 @@ def tie_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> Data
     the value's size, so a group's rows never have to meet in one task.
     """
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    v = F.col(value).cast("double")
-    cell = F.floor(F.signum(v) * F.log1p(F.abs(v)) * 256)
-    before = running_total(counts, keys, [value], "__n", cell, "__before")
+    before = running_total(counts, keys, [value], "__n", _cell(F.col(value).cast("double")), "__before")
     placed = before.select(*keys, value, (F.col("__before") + (F.col("__n") - 1) / 2).alias(name))
     return df.join(placed, [*keys, value])
 
@@ -35,32 +41,40 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     return sums.select(*keys, "n", F.when(F.col("s") > 0, F.col("c") / F.col("s")).otherwise(0.0).alias("rho"))
 
 
-def kendall(df: DataFrame, keys: Sequence[str], x: str, y: str, bits: int = 18) -> DataFrame:
+def kendall(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """(keys, n, tau): Kendall's tau-a, counted without pairs.
 
-    Rows are ranked by y; walking up a binary tree over the ranks of x, every two rows with
-    different x meet exactly once, as left and right child of one node. There the pairs in equal
-    or opposite order are counted by running counts: n log n rows in all. A node is one window
-    partition, so this is meant for groups that fit a task's sort (it spills).
+    Walking up a binary tree over the positions of x's distinct values, every two rows with
+    different x meet exactly once, as left and right child of one node; the tree is as high as a
+    group's number of distinct x needs. In a node the pairs in equal or opposite order are
+    counted from running counts by y: n log n rows in all. Positions and running counts are
+    summed within cells, so neither a group nor the topmost node has to meet in one task.
     """
-    rows = df.dropna(subset=[x, y]).select(*keys, F.col(x).alias("__x"), F.col(y).alias("__y"))
-    own = Window.partitionBy(*keys)
-    ids = rows.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("c")).select(*keys, "__x", (F.row_number().over(own.orderBy("__x")) - 1).alias("__i"))
-    coded = rows.join(ids, [*keys, "__x"]).groupBy(*keys, "__i", "__y").agg(F.count(F.lit(1)).alias("c"))
-    level = coded.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
-    node = level.withColumns({"__node": F.expr("shiftright(__i, __b + 1)"), "__right": F.expr("shiftright(__i, __b) & 1")})
-    # Left counts below and above each right row's y.
-    at = Window.partitionBy(*keys, "__b", "__node").orderBy("__y")
-    left = F.when(F.col("__right") == 0, F.col("c")).otherwise(0)
-    below = F.coalesce(F.sum(left).over(at.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)) - F.sum(left).over(Window.partitionBy(*keys, "__b", "__node", "__y"))
-    total = F.sum(left).over(Window.partitionBy(*keys, "__b", "__node"))
-    equal = F.sum(left).over(Window.partitionBy(*keys, "__b", "__node", "__y"))
-    counted = node.withColumns({"below": below, "equal": equal, "total": total}).where("__right = 1")
-    s = F.sum(F.col("c") * (F.col("below") - (F.col("total") - F.col("below") - F.col("equal"))))
-    sums = counted.groupBy(*keys).agg(s.alias("s"))
+    rows = df.dropna(subset=[x, y]).select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    # -0.0 equals 0.0.
+    rows = written(rows.withColumns({"__x": F.col("__x") + 0.0, "__y": F.col("__y") + 0.0}), "ranked")
+    place = lambda c, name: numbered(rows.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("__c")).drop("__c"), keys, [c], _cell(F.col(c)), name)
+    same = lambda a, b, c: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in [*keys, c]]
+    at_x, at_y = place("__x", "__i"), place("__y", "__j")
+    coded = rows.alias("r").join(at_x.alias("p"), same("r", "p", "__x")).select("r.*", (F.col("p.__i") - 1).alias("__i"))
+    coded = coded.alias("r").join(at_y.alias("p"), same("r", "p", "__y")).select(*[F.col(f"r.{k}").alias(k) for k in keys], "r.__i", "p.__j")
+    coded = written(coded.groupBy(*keys, "__i", "__j").agg(F.count(F.lit(1)).alias("c")), "coded")
+    high = coded.groupBy(*keys).agg(F.ceil(F.log2(F.max("__i") + 1)).cast("int").alias("__high"))
+    tall = coded.alias("r").join(high.alias("p"), same("r", "p", "__high")[:-1]).where("p.__high > 0").select("r.*", F.explode(F.sequence(F.lit(0), F.col("p.__high") - 1)).alias("__b"))
+    right = F.expr("shiftright(__i, __b) & 1")
+    node = tall.groupBy(*keys, "__b", F.expr("shiftright(__i, __b + 1)").alias("__node"), "__j").agg(F.sum(F.when(right == 0, F.col("c")).otherwise(0)).alias("__l"), F.sum(F.when(right == 1, F.col("c")).otherwise(0)).alias("__r"))
+    node = written(node, "nodes")
+    own = [*keys, "__b", "__node"]
+    below = running_total(node, own, ["__j"], "__l", F.floor(F.col("__j") / 4096), "__below")
+    totals = node.groupBy(*own).agg(F.sum("__l").alias("__all"))
+    counted = below.alias("r").join(totals.alias("p"), [F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) for k in own])
+    above = F.col("p.__all") - F.col("r.__below") - F.col("r.__l")
+    sums = counted.groupBy(*[F.col(f"r.{k}").alias(k) for k in keys]).agg(F.sum(F.col("r.__r") * (F.col("r.__below") - above)).alias("s"))
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    tau = F.when(F.col("n") < 2, 0.0).otherwise(F.coalesce("s", F.lit(0)) / (F.col("n") * (F.col("n") - 1) / 2))
-    return n.join(sums, list(keys), "left").select(*keys, "n", tau.alias("tau"))
+    size = F.col("a.n").cast("double")
+    tau = F.when(size < 2, 0.0).otherwise(F.coalesce("b.s", F.lit(0)) / (size * (size - 1) / 2))
+    both = n.alias("a").join(sums.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "left")
+    return both.select(*[F.col(f"a.{k}").alias(k) for k in keys], "a.n", tau.alias("tau"))
 
 
 def top1_hits(df: DataFrame, predicted: str, actual: str) -> DataFrame:
@@ -73,21 +87,16 @@ def top1_hits(df: DataFrame, predicted: str, actual: str) -> DataFrame:
 def outcomes(pool: DataFrame, multipliers: Sequence[float], choices) -> DataFrame:
     """(query_id, multiplier, strategy_name, plan_id, cost, latency, violated, regret, speedup).
 
-    A query's budget is the multiplier times its least measured cost. choices(pool with budget)
-    gives (query_id, strategy_name, plan_id). regret is latency over the oracle's less one; speedup
+    A query's budget is the multiplier times its least measured cost. choices(pool with budget,
+    keys) gives (query_id, multiplier, strategy_name, plan_id). regret is latency over the oracle's less one; speedup
     is against the plan of least predicted cost.
     """
-    pool = written(pool, "pool")  # every multiplier reads it
+    pool = written(pool, "pool")  # read twice
     least = pool.groupBy("query_id").agg(F.min("actual_cost").alias("least"), F.min(F.struct("pred_cost", "plan_id", "actual_latency"))["actual_latency"].alias("reference"))
-    parts = []
-    for m in multipliers:
-        with_budget = pool.join(least, "query_id").withColumn("budget", F.lit(float(m)) * F.col("least"))
-        chosen = choices(with_budget).join(with_budget.select("query_id", "plan_id", "actual_cost", "actual_latency", "budget", "reference"), ["query_id", "plan_id"])
-        parts.append(chosen.withColumn("multiplier", F.lit(float(m))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = written(out, "outcomes")
+    each = F.explode(F.array(*[F.lit(float(m)) for m in multipliers])).alias("multiplier")
+    with_budget = written(pool.join(least, "query_id").select("*", each).withColumn("budget", F.col("multiplier") * F.col("least")), "budgets")
+    keys = ["query_id", "multiplier"]
+    out = written(choices(with_budget, keys).join(with_budget.select(*keys, "plan_id", "actual_cost", "actual_latency", "budget", "reference"), [*keys, "plan_id"]), "outcomes")
     oracle = out.where("strategy_name = 'oracle'").select("query_id", "multiplier", F.col("actual_latency").alias("best"))
     joined = out.join(oracle, ["query_id", "multiplier"], "left")
     return joined.select(
@@ -105,11 +114,6 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: di
     return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in shares.items()])
 
 
-def geometric_mean(x: Column) -> Column:
-    """Over the positive values; null if there are none."""
-    return F.exp(F.avg(F.when(x > 0, F.log(x))))
-
-
 def summary(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per group: n, median, p90 and p99 latency, mean cost, violation rate, mean regret, geometric mean speedup."""
     return results.groupBy(*keys).agg(
@@ -118,25 +122,65 @@ def summary(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _median_ranks(rounds: int):
+    """Ranks (1 to n) whose values average to the median of a resample, for each row (keys.., n, seed) and round.
+
+    The k-th of n resampled ranks is ceil(n U) for the k-th of n uniforms, which is beta
+    distributed, so a round needs one or two draws whatever n is.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                rng = np.random.default_rng(int(row["__seed"]) & (2**63 - 1))
+                n = int(row["n"])
+                k = (n + 1) // 2
+                low = rng.beta(k, n + 1 - k, rounds)
+                high = low if n % 2 else low + (1 - low) * rng.beta(1, n - k, rounds)
+                rank = lambda u: np.clip(np.ceil(n * u), 1, n).astype(np.int64)  # noqa: B023, E731
+                yield pd.DataFrame({"__key": row["__key"], "__round": np.arange(rounds), "__lo": rank(low), "__hi": rank(high)})
+
+    return work
+
+
 def bootstrap_median(df: DataFrame, keys: Sequence[str], value: str, rounds: int = 2000, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """(keys, median, low, high): percentile interval of the median by seeded resampling.
+    """(keys, n, median, low, high): percentile interval of the median over seeded resamples of n values with replacement.
 
-    Every row draws its Poisson(1) count in each round from a hash, so resampling is one
-    aggregation over (group, round, value) and no group has to be gathered.
+    A resample's median is fixed by the ranks drawn for it (see _median_ranks), so rounds draw
+    ranks, not rows: their cost doesn't grow with n. Values at ranks are found from counts of
+    distinct values and running totals in cells. Null values are left out.
     """
-    rows = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    spread = rows.select(*keys, value, F.explode(F.sequence(F.lit(1), F.col("__c"))).alias("__k")).withColumn("__round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u = F.pmod(F.xxhash64(*keys, value, "__k", "__round", F.lit(seed)), F.lit(10**9)) / F.lit(1e9)
-    limit, term, weight = math.exp(-1), math.exp(-1), F.lit(0)
-    for j in range(1, 8):
-        weight = weight + (u >= limit).cast("int")
-        term /= j
-        limit += term
-    drawn = spread.withColumn("__w", weight).where("__w > 0")
-    medians = drawn.groupBy(*keys, "__round").agg(F.percentile(value, F.lit(0.5), F.col("__w")).alias("m"))
+    x = F.col(value).cast("double")
+    rows = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("__key"), x.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    placed = written(running_total(rows, ["__key"], ["__v"], "__c", _cell(F.col("__v")), "__before"), "placed")
+    sizes = placed.groupBy("__key").agg(F.sum("__c").alias("n")).withColumn("__seed", F.xxhash64("__key", F.lit(seed)))
+    drawn = written(sizes.select("__key", "n", "__seed").mapInPandas(_median_ranks(rounds), "__key string, __round long, __lo long, __hi long"), "drawn")
+    middle = sizes.select("__key", F.lit(-1).cast("long").alias("__round"), F.floor((F.col("n") + 1) / 2).alias("__lo"), F.floor(F.col("n") / 2 + 1).alias("__hi"))
+    asked = drawn.union(middle)
+    spots = asked.select("__key", F.explode(F.array("__lo", "__hi")).alias("__at")).distinct()
+    span = spots.groupBy("__key").agg(F.min("__at").alias("__from"), F.max("__at").alias("__to"))
+    # Only values that some wanted rank can fall on take part in the ordered pass: about the root of n of them.
+    near = placed.join(span, "__key").where("__before < __to and __before + __c >= __from").select("__key", (F.col("__before") + 1).alias("__at"), "__v")
+    events = near.unionByName(spots.withColumn("__v", F.lit(None).cast("double")))
+    order = Window.partitionBy("__key").orderBy("__at", F.col("__v").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = written(events.withColumn("__x", F.last("__v", ignorenulls=True).over(order)).where("__v is null").select("__key", "__at", "__x"), "ranks")
+    at = lambda c: found.select("__key", F.col("__at").alias(c), F.col("__x").alias(f"{c}_x"))
+    medians = asked.join(at("__lo"), ["__key", "__lo"]).join(at("__hi"), ["__key", "__hi"]).select("__key", "__round", ((F.col("__lo_x") + F.col("__hi_x")) / 2).alias("m"))
     tail = (1 - level) / 2
-    limits = medians.groupBy(*keys).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
-    return df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median")).join(limits, list(keys))
+    drawn_only = F.when(F.col("__round") >= 0, F.col("m"))
+    limits = medians.groupBy("__key").agg(F.max(F.when(F.col("__round") < 0, F.col("m"))).alias("median"), F.percentile(drawn_only, F.lit(tail)).alias("low"), F.percentile(drawn_only, F.lit(1 - tail)).alias("high"))
+    named = F.from_json("__key", df.select(*keys).schema)
+    return limits.join(sizes.select("__key", "n"), "__key").select(*[named[k].alias(k) for k in keys], "n", "median", "low", "high")
+
+
+def summary_with_intervals(results: DataFrame, keys: Sequence[str], rounds: int = 2000, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """summary() with the median cost and the bootstrap intervals of median latency and median cost."""
+    results = written(results, "results")
+    out = summary(results, keys)
+    for value in ("latency", "cost"):
+        ci = bootstrap_median(results, keys, value, rounds, level, seed).select(*[F.col(k).alias(f"__{k}") for k in keys], *([F.col("median").alias("median_cost")] if value == "cost" else []), F.col("low").alias(f"{value}_ci_low"), F.col("high").alias(f"{value}_ci_high"))
+        out = out.join(ci, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*[f"__{k}" for k in keys])
+    return out
 
 
 def wilcoxon(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

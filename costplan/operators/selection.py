@@ -38,6 +38,20 @@ def constrained(pool: DataFrame, cost: str = "pred_cost", latency: str = "pred_l
     return out.withColumns(slack)
 
 
+def chance_constrained(plans: DataFrame, q: Column, budget: Column, deadline: Column | None = None) -> DataFrame:
+    """plans with the symmetric interval point * exp(+-q) of cost and latency, whether its upper ends fit, and the room left.
+
+    A null deadline, or none, doesn't bind: its room is infinite. The older form of the filter,
+    kept beside bounds() and constrained(), which it agrees with.
+    """
+    up, down = F.exp(q), F.exp(-q)
+    limit = F.lit(None).cast("double") if deadline is None else deadline
+    out = plans.withColumns({"cost_upper": F.col("pred_cost") * up, "cost_lower": F.col("pred_cost") * down, "latency_upper": F.col("pred_latency") * up, "latency_lower": F.col("pred_latency") * down})
+    out = out.withColumns({"cost_headroom": budget - F.col("cost_upper"), "latency_headroom": F.coalesce(limit - F.col("latency_upper"), F.lit(float("inf")))})
+    fits = {"is_cost_feasible": F.col("cost_headroom") >= 0, "is_latency_feasible": F.col("latency_headroom") >= 0}
+    return out.withColumns(fits).withColumn("feasible", F.col("is_cost_feasible") & F.col("is_latency_feasible"))
+
+
 def reason_counts(judged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Plans per group by reason; infeasible only where none passed."""
     counts = [F.count_if(F.col("reason") == r).alias(r.lower()) for r in REASONS]
@@ -211,8 +225,8 @@ def robust_select(bounded: DataFrame, policy: Policy = FASTEST, mode: str = INFE
     return chosen.unionByName(rest)
 
 
-def strategy_choices(pool: DataFrame, seed: int = 0) -> DataFrame:
-    """(query_id, strategy_name, plan_id) of greedy_cheapest, greedy_fastest, random and oracle.
+def strategy_choices(pool: DataFrame, seed: int = 0, keys: Sequence[str] = ("query_id",)) -> DataFrame:
+    """(keys, strategy_name, plan_id) of greedy_cheapest, greedy_fastest, random and oracle.
 
     The fastest looks among plans within budget and falls back to the cheapest; the oracle does
     so on measured values; random is the plan of least md5 of seed, query and plan. pool has
@@ -229,8 +243,8 @@ def strategy_choices(pool: DataFrame, seed: int = 0) -> DataFrame:
     }
     usable = pool.dropna(subset=["pred_cost", "pred_latency", "actual_cost", "actual_latency"])
     aggs = [F.min(F.struct(*[x.alias(f"o{i}") for i, x in enumerate(order)], F.col("plan_id")))["plan_id"].alias(name) for name, order in rules.items()]
-    wide = usable.groupBy("query_id").agg(*aggs)
-    return wide.unpivot(["query_id"], list(rules), "strategy_name", "plan_id")
+    wide = usable.groupBy(*keys).agg(*aggs)
+    return wide.unpivot(list(keys), list(rules), "strategy_name", "plan_id")
 
 
 def replan(pool: DataFrame, tried: DataFrame) -> DataFrame:

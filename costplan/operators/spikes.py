@@ -198,11 +198,13 @@ def tail_cutoffs(judged: DataFrame, fold: float, scatters: float, risk: float, b
     Residuals are counted in bins of 1/400 in ln, so quantiles are mergeable counts, a hot
     source is combined on the map side and a source has a few thousand bins at most. The scatter,
     and with it rule_cutoff, is that of the plain residuals; the tail is fitted to the seasonal
-    ones. Residuals beyond the rule's cutoff (the spikes themselves) don't take part in the fit.
+    ones, if judged has them. Residuals beyond the rule's cutoff (the spikes themselves) don't
+    take part in the fit.
     """
     width = 1.0 / bins_per_ln
+    adjusted = "seasonal_residual" if "seasonal_residual" in judged.columns else "residual"
     bin_of = lambda c: F.least(F.floor(F.abs(c) / width), F.lit(20 * bins_per_ln))
-    bins = judged.where(~F.isnan("residual")).groupBy("source", bin_of("residual").alias("bin"), bin_of("seasonal_residual").alias("sbin")).agg(F.count(F.lit(1)).alias("n"))
+    bins = judged.where(~F.isnan("residual")).groupBy("source", bin_of("residual").alias("bin"), bin_of(adjusted).alias("sbin")).agg(F.count(F.lit(1)).alias("n"))
     own = Window.partitionBy("source")
     upto = F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     at = bins.withColumns({"upto": upto, "all": F.sum("n").over(own), "mid": (F.col("bin") + 0.5) * width})

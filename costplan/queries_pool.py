@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from costplan.functions import geometric_mean
 from costplan.operators import calibration, conformal, cost, evaluation, frontier, selection
 from costplan.operators.pool import BUDGET_SQL, SQL, budgeted, plan_pool
 from costplan.session import table, written
@@ -267,7 +268,7 @@ def robust_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.outcomes(plan_pool(spark, sf_dir), (1.0, 1.25, 2.0), lambda p: selection.strategy_choices(p))
+    return evaluation.outcomes(plan_pool(spark, sf_dir), (1.0, 1.25, 2.0), lambda p, keys: selection.strategy_choices(p, keys=keys))
 
 
 _CHOICES = """ch AS (
@@ -416,7 +417,7 @@ def top1_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(POOL + " SELECT strategy, round(exp(avg(ln(pred_cost)) FILTER (pred_cost>0)),4) AS geomean_cost FROM plan_pool GROUP BY strategy")
 def geomean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan_pool(spark, sf_dir).groupBy("strategy").agg(F.round(evaluation.geometric_mean(F.col("pred_cost")), 4).alias("geomean_cost"))
+    return plan_pool(spark, sf_dir).groupBy("strategy").agg(F.round(geometric_mean(F.col("pred_cost")), 4).alias("geomean_cost"))
 
 
 @query(POOL + " SELECT strategy, round(quantile_cont(actual_cost,0.5),6) AS p50, round(quantile_cont(actual_cost,0.9),6) AS p90, round(quantile_cont(actual_cost,0.99),6) AS p99 FROM plan_pool GROUP BY strategy")

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from costplan import functions
+from costplan.functions import family_of
 from costplan.plans import alternatives, plantext, search
 from costplan.plans.shape import shape
 from costplan.session import table
@@ -353,14 +355,14 @@ def hint_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(n AS INTEGER) AS n_tables, CASE WHEN n <= 4 THEN 'small' WHEN n <= 7 THEN 'medium' ELSE 'large' END AS family FROM range(3, 11) t(n)")
 def family_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(3, 11).select(F.col("id").cast("int").alias("n_tables"), workload.family_of(F.col("id")).alias("family"))
+    return spark.range(3, 11).select(F.col("id").cast("int").alias("n_tables"), family_of(F.col("id")).alias("family"))
 
 
 @query("""WITH u AS (SELECT o_orderkey AS k, (o_orderkey * 7919 % 10007) / 10007.0::DOUBLE AS u FROM orders)
 SELECT k, CAST(least(floor(u * 1000), 999) AS BIGINT) AS uniform, CAST(least(floor(exp(u * ln(1001.0::DOUBLE)) - 1), 999) AS BIGINT) AS s1, CAST(least(floor(pow(u * (pow(1001.0::DOUBLE, -0.5) - 1) + 1, -2.0) - 1), 999) AS BIGINT) AS s15 FROM u""")
 def zipf_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") * 7919 % 10007 / F.lit(10007.0)).alias("u"))
-    z = lambda s: star.zipf_index(F.col("u"), 1000, s)
+    z = lambda s: functions.zipf_index(F.col("u"), 1000, s)
     return u.select("k", z(0).alias("uniform"), z(1).alias("s1"), z(1.5).alias("s15"))
 
 

@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from costplan.functions import zipf_index
 from costplan.sources.tables import _fs
 
 
-def zipf_index(u: Column, n: int, s: float) -> Column:
-    """An index in [0, n) from a uniform u: uniform for s <= 0, else the inverse of a continuous power law."""
-    if s <= 0:
-        x = u * n
-    elif s == 1:
-        x = F.exp(u * F.log(F.lit(float(n) + 1))) - 1
-    else:
-        x = F.pow(u * F.lit((n + 1) ** (1 - s) - 1) + 1, F.lit(1 / (1 - s))) - 1
-    return F.least(F.floor(x), F.lit(n - 1)).cast("long")
+# Foreign keys of the star, in the order in which the workload joins the tables they name.
+FOREIGN_KEYS = """
+store_sales.ss_sold_date_sk = date_dim.d_date_sk
+store_sales.ss_item_sk = item.i_item_sk
+store_sales.ss_store_sk = store.s_store_sk
+store_sales.ss_cdemo_sk = customer_demographics.cd_demo_sk
+store_sales.ss_sold_time_sk = time_dim.t_time_sk
+store_sales.ss_customer_sk = customer.c_customer_sk
+customer.c_current_addr_sk = customer_address.ca_address_sk
+store_sales.ss_hdemo_sk = household_demographics.hd_demo_sk
+store_sales.ss_promo_sk = promotion.p_promo_sk
+"""
 
 
 def sizes(scale: float = 1.0) -> dict[str, int]:
-    """Rows of each table; the calendar-like ones have a fixed size."""
+    """Rows of each table at a scale; the calendar-like ones don't grow. The numbers are fixed values."""
     grow = lambda n: max(1, int(n * scale))
     return {
         "store_sales": grow(200_000), "date_dim": 73_049, "item": grow(18_000), "store": max(12, grow(12)), "customer_demographics": 19_208, "time_dim": 86_400, "customer": grow(100_000),
@@ -48,7 +54,8 @@ def star(spark: SparkSession, scale: float = 1.0, zipf: float = 0.0, seed: int =
         "household_demographics": ids("household_demographics", "hd_demo_sk").select("hd_demo_sk", F.pmod(k("hd_demo_sk"), F.lit(10)).cast("int").alias("hd_dep_count")),
         "promotion": ids("promotion", "p_promo_sk").select("p_promo_sk", _choice(k("p_promo_sk"), ("Y", "N"), 5).alias("p_channel_tv")),
     }
-    keys = (("ss_sold_date_sk", "date_dim"), ("ss_item_sk", "item"), ("ss_store_sk", "store"), ("ss_customer_sk", "customer"), ("ss_cdemo_sk", "customer_demographics"), ("ss_sold_time_sk", "time_dim"), ("ss_hdemo_sk", "household_demographics"), ("ss_promo_sk", "promotion"))
+    keys = [re.fullmatch(r"store_sales\.(\w+) = (\w+)\.\w+", line) for line in FOREIGN_KEYS.split("\n")]
+    keys = [m.groups() for m in keys if m]
     facts = ids("store_sales", "ss_ticket_number").select("ss_ticket_number", *[zipf_index(F.rand(seed + i), n[t], zipf).alias(c) for i, (c, t) in enumerate(keys)], F.round(F.rand(seed + 99) * 1000, 2).alias("ss_ext_sales_price"))
     return {"store_sales": facts, **dims}
 

@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -227,3 +228,26 @@ def test_chunked_hot_source_equals_whole(spark):
     x[at] *= 4
     whole = _flags(_readings(spark, x))
     assert whole == _flags(_readings(spark, x), target=100) and len(whole & {(int(i), "spike") for i in at}) >= 38
+
+
+def test_seasons_widen_the_tail_of_hours_that_are_slow(spark):
+    """A source that is always slow from 9 to 10: its level there is found, plain residuals would hold it against the tail."""
+    rng = np.random.default_rng(0)
+    t = pd.date_range("2024-01-01", periods=4000, freq="17min")
+    x = np.exp(rng.normal(0, 0.02, len(t)) + np.where(t.hour == 9, 0.2, 0.0))
+    df = spark.createDataFrame(pd.DataFrame({"run": range(len(t)), "plan": "p", "at": t, "v": x}))
+    judged = spikes.judged_readings(df, "plan", "at", "v", "run")
+    both = spikes.seasonal(judged, 0.47)
+    level = {r["slow"]: r["m"] for r in both.join(df.select(F.col("run").alias("row_id"), (F.hour("at") == 9).alias("slow")), "row_id").groupBy("slow").agg(F.median(F.col("residual") - F.col("seasonal_residual")).alias("m")).collect()}
+    assert level[True] > 0.1 > abs(level[False])
+    plain, season = spikes.tail_cutoffs(judged, 1.6, 8.0, 1e-4).first(), spikes.tail_cutoffs(both, 1.6, 8.0, 1e-4).first()
+    assert season["pot_cutoff"] < plain["pot_cutoff"] and season["rule_cutoff"] == plain["rule_cutoff"]
+    few = spikes.seasonal(spikes.judged_readings(df.limit(300), "plan", "at", "v", "run"), 0.47)
+    assert few.where("residual <> seasonal_residual").count() == 0
+
+
+def test_promotion_of_columns_equals_that_of_kinds(spark):
+    kinds = list(drift.SPARK_TYPE)
+    rows = [(a, b) for a in kinds for b in kinds] + [(None, "text"), (None, None)]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", drift.promoted(F.col("a"), F.col("b")).alias("p")).collect()
+    assert all(r["p"] == drift.promote(r["a"] or "null", r["b"] or "null") for r in got)

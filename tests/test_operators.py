@@ -126,10 +126,21 @@ def test_learned_models(spark, sf):
     few = ("scan_bytes", "shuffle_bytes", "exchange_count", "sort_count")
     model = calibration.fit_gbt(rows, "true_latency", few, rounds=5)
     assert calibration.predict_gbt(model, rows, few).where("prediction <= 0 or prediction is null").count() == 0
-    w = calibration.fit_pairwise(rows, "true_latency", few)
-    assert len(w) == 4 and any(w)
-    one = rows.limit(1)
-    assert calibration.fit_pairwise(one, "true_latency", few) == [0.0] * 4
+    rank = calibration.fit_ranking(rows, "true_latency", few)
+    by = evaluation.spearman(rank.predict(rows), ["query_id"], "prediction", "true_latency").where("n >= 5").agg(F.avg("rho")).first()[0]
+    assert len(rank.weights) == 4 and by > 0.5
+    told = rank.predict(rows).agg(F.avg("prediction").alias("p"), F.avg("true_latency").alias("y"), F.min("prediction").alias("least")).first()
+    assert told["least"] >= 0.001 and told["p"] == pytest.approx(told["y"], rel=0.2)
+    one = calibration.fit_ranking(rows.limit(1), "true_latency", few)
+    assert one.weights == calibration.fit_log_ridge(rows.limit(1), "true_latency", few).weights[1:]
+
+
+def test_pairs_of_small_and_large_queries(spark):
+    df = spark.range(40).selectExpr("'small' as query_id", "cast(id + 1 as double) as y", "cast(id as double) as x").union(spark.range(1000).selectExpr("'large'", "cast(id + 1 as double)", "cast(id as double)"))
+    pairs = calibration.query_pairs(df, "y", ["x"], all_pairs=40)
+    assert pairs.where("x >= 0").count() == 0
+    n = pairs.count() - 40 * 39 // 2
+    assert n == sum(1000 - 2**i for i in range(10))
 
 
 def test_model_store_keeps_versions(tmp_path):
@@ -163,6 +174,21 @@ def test_bootstrap_holds_the_median(spark):
     assert evaluation.bootstrap_median(df, ["k"], "v", rounds=200).first() == r
 
 
+def test_bootstrap_equals_resampling(spark):
+    rng = np.random.default_rng(7)
+    values = {k: rng.lognormal(0, 1, n) for k, n in (("odd", 301), ("even", 300), ("one", 1))}
+    df = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("odd", None), ("odd", math.nan)], "k string, v double")
+    for r in evaluation.bootstrap_median(df, ["k"], "v").collect():
+        v = values[r["k"]]
+        want = np.percentile([np.median(rng.choice(v, len(v))) for _ in range(4000)], [2.5, 97.5])
+        assert r["n"] == len(v) and r["median"] == pytest.approx(np.median(v)) and (r["low"], r["high"]) == pytest.approx(tuple(want), rel=0.03)
+
+
+def test_tau_beyond_two_to_the_eighteen(spark):
+    df = spark.range(300_000).selectExpr("'k' as k", "cast(id as double) as x", "cast(-id as double) as y")
+    assert evaluation.kendall(df, ["k"], "x", "y").first()["tau"] == -1.0
+
+
 def test_equivalence_of_results(spark):
     a = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "k string, v double")
     b = spark.createDataFrame([("x", 1.0 + 1e-9), ("y", 2.0)], "k string, v double")

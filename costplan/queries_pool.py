@@ -158,14 +158,27 @@ def lagrangian_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.ranked(scored).select("query_id", "plan_id", "score", "rank")
 
 
+def _q_sql(signed: bool, deltas: tuple[float, ...], beyond: str) -> str:
+    r = lambda m: f"ln(greatest(actual_{m},1e-9))-ln(greatest(pred_{m},1e-9))"
+    s = lambda m: r(m) if signed else f"abs({r(m)})"
+    top = "'infinity'::DOUBLE" if beyond == "infinity" else "max(score)"
+    vals = ",".join(f"({d}::DOUBLE)" for d in deltas)
+    return POOL + f""", sc AS (SELECT query_id, plan_id, 'cost' AS metric, {s('cost')} AS score FROM plan_pool UNION ALL SELECT query_id, plan_id, 'latency', {s('latency')} FROM plan_pool),
+po AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY score, query_id, plan_id) AS position, count(*) OVER (PARTITION BY metric) AS n FROM sc),
+dl AS (SELECT * FROM (VALUES {vals}) AS t(delta)),
+qq AS (SELECT metric, delta, n, CAST(ceil((n+1)*(1-delta)-1e-9) AS BIGINT) AS rank, CASE WHEN ceil((n+1)*(1-delta)-1e-9)>n THEN {top} ELSE min(score) FILTER (position=ceil((n+1)*(1-delta)-1e-9)) END AS q FROM po CROSS JOIN dl GROUP BY metric, delta, n)"""
+
+
 def _bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pool with bounds of fixed multipliers, a budget of 1.9 times the least cost and a wide deadline."""
-    out = conformal.bounds(budgeted(plan_pool(spark, sf_dir)), F.lit(1.2), F.lit(1.15))
-    return out.withColumn("budget", F.col("budget") * 1.25)
+    """The pool with bounds from its own residuals' quantiles, violated by one plan in ten; a budget of 1.9 times the least cost and a wide deadline."""
+    pool = written(plan_pool(spark, sf_dir), "pool")
+    q = conformal.quantiles(conformal.residuals(pool), (0.1,))
+    return conformal.with_quantiles(budgeted(pool), q, 0.1).withColumn("budget", F.col("budget") * 1.25)
 
 
-BOUNDED = BUDGETED + """, u AS (SELECT query_id, plan_id, strategy, pred_cost, pred_latency, actual_cost, actual_latency, budget*1.25::DOUBLE AS budget, deadline, pred_cost*1.2::DOUBLE AS cost_upper, pred_cost/1.2::DOUBLE AS cost_lower,
-pred_latency*1.15::DOUBLE AS latency_upper, pred_latency/1.15::DOUBLE AS latency_lower FROM b),
+BOUNDED = _q_sql(False, (0.1,), "infinity") + "," + BUDGET_SQL + """, mu AS (SELECT max(exp(q)) FILTER (metric='cost') AS mc, max(exp(q)) FILTER (metric='latency') AS ml FROM qq),
+u AS (SELECT query_id, plan_id, strategy, pred_cost, pred_latency, actual_cost, actual_latency, budget*1.25::DOUBLE AS budget, deadline, pred_cost*mc AS cost_upper, pred_cost/mc AS cost_lower,
+pred_latency*ml AS latency_upper, pred_latency/ml AS latency_lower FROM b CROSS JOIN mu),
 ok AS (SELECT * FROM u WHERE cost_upper<=budget AND latency_upper<=deadline)"""
 
 
@@ -314,17 +327,6 @@ def replan_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Conformal ------------------------------------------------------------------------------------------
 
 
-def _q_sql(signed: bool, deltas: tuple[float, ...], beyond: str) -> str:
-    r = lambda m: f"ln(greatest(actual_{m},1e-9))-ln(greatest(pred_{m},1e-9))"
-    s = lambda m: r(m) if signed else f"abs({r(m)})"
-    top = "'infinity'::DOUBLE" if beyond == "infinity" else "max(score)"
-    vals = ",".join(f"({d}::DOUBLE)" for d in deltas)
-    return POOL + f""", sc AS (SELECT query_id, plan_id, 'cost' AS metric, {s('cost')} AS score FROM plan_pool UNION ALL SELECT query_id, plan_id, 'latency', {s('latency')} FROM plan_pool),
-po AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY score, query_id, plan_id) AS position, count(*) OVER (PARTITION BY metric) AS n FROM sc),
-dl AS (SELECT * FROM (VALUES {vals}) AS t(delta)),
-qq AS (SELECT metric, delta, n, CAST(ceil((n+1)*(1-delta)-1e-9) AS BIGINT) AS rank, CASE WHEN ceil((n+1)*(1-delta)-1e-9)>n THEN {top} ELSE min(score) FILTER (position=ceil((n+1)*(1-delta)-1e-9)) END AS q FROM po CROSS JOIN dl GROUP BY metric, delta, n)"""
-
-
 _QOUT = " SELECT metric, delta, n, rank, round(q,6) AS q, round(exp(q),6) AS multiplier, rank>n AS rank_exceeds_n FROM qq"
 
 
@@ -447,11 +449,79 @@ def fractional_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.tie_ranks(plan_pool(spark, sf_dir), ["query_id"], "pred_latency", "latency_rank").select("query_id", "plan_id", "latency_rank")
 
 
+_MEDIANS = _MB + """, v AS (SELECT strategy_name, speedup AS x FROM ev WHERE speedup IS NOT NULL),
+r AS (SELECT strategy_name, x, row_number() OVER (PARTITION BY strategy_name ORDER BY x) AS i, count(*) OVER (PARTITION BY strategy_name) AS n FROM v)"""
+
+
 @query()
 def bootstrap_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentile interval of the median speedup of each strategy over the queries' outcomes, 200 rounds."""
-    by_strategy = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_custkey").agg(F.avg("o_totalprice").alias("v"))
-    return evaluation.bootstrap_median(by_strategy.withColumn("v", F.round("v", -3)), ["o_orderpriority"], "v", rounds=200)
+    """Percentile interval of the median speedup of each strategy over all outcomes, 2000 resamples."""
+    return evaluation.bootstrap_median(_evaluated(spark, sf_dir), ["strategy_name"], "speedup")
+
+
+@query(_MEDIANS + """ SELECT strategy_name, max(n) AS n, round(median(x),6) AS median, true AS low_in_place, true AS high_in_place FROM r GROUP BY strategy_name""")
+def bootstrap_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same intervals held against theory: their ends lie within a tenth of 1.96 deviations of a median's rank, root of n halved, plus two ranks."""
+    rows = written(_evaluated(spark, sf_dir).where("speedup is not null"), "speedups")
+    ci = evaluation.bootstrap_median(rows, ["strategy_name"], "speedup")
+    both = rows.join(ci, "strategy_name").groupBy("strategy_name").agg(F.max("n").alias("n"), F.round(F.max("median"), 6).alias("median"), *[F.count_if(F.col("speedup") <= F.col(e)).alias(f"{e}_upto") for e in ("low", "high")], *[F.count_if(F.col("speedup") < F.col(e)).alias(f"{e}_below") for e in ("low", "high")])
+    reach = 1.96 * F.sqrt("n") / 2
+    near = lambda e, rank: ((F.col(f"{e}_upto") >= rank - 0.1 * reach - 2) & (F.col(f"{e}_below") <= rank + 0.1 * reach + 2)).alias(f"{e}_in_place")
+    return both.select("strategy_name", "n", "median", near("low", F.col("n") / 2 - reach), near("high", F.col("n") / 2 + reach))
+
+
+@query()
+def summary_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """summary_by_strategy with the median cost and bootstrap intervals of median latency and cost."""
+    return evaluation.summary_with_intervals(_evaluated(spark, sf_dir), ["strategy_name", "multiplier"])
+
+
+@query("""WITH x AS (SELECT range AS id FROM range(300000)), w AS (SELECT id // 1000 AS block, count(*) AS c FROM x GROUP BY 1), t AS (SELECT sum(c) AS n, CAST(sum(c*(c-1)/2) AS DOUBLE) AS within FROM w)
+SELECT 'blocks' AS grp, CAST(n AS BIGINT) AS n, round((n*(n-1)/2-2*within)/(n*(n-1)/2),9) AS tau FROM t""")
+def kendall_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kendall's tau of one group of 300000 distinct values that rise from block to block and fall within each."""
+    x = F.col("id")
+    df = spark.range(300_000).select(F.lit("blocks").alias("grp"), x.cast("double").alias("x"), (F.floor(x / 1000) * 1000 + 999 - x % 1000).cast("double").alias("y"))
+    return evaluation.kendall(df, ["grp"], "x", "y").withColumn("tau", F.round("tau", 9))
+
+
+@query(_q_sql(False, (0.05,), "infinity") + "," + BUDGET_SQL + """, k AS (SELECT max(q) AS q FROM qq WHERE metric='cost'), u AS (SELECT b.*, pred_cost*exp(q) AS cu, pred_cost*exp(-q) AS cl, pred_latency*exp(q) AS lu FROM b CROSS JOIN k)
+SELECT query_id, plan_id, round(cu,6) AS cost_upper, round(cl,6) AS cost_lower, round(budget-cu,6) AS cost_headroom, round(deadline-lu,6) AS latency_headroom, cu<=budget AND lu<=deadline AS feasible FROM u""")
+def chance_constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older symmetric interval of one quantile for both metrics, and the filter by its upper ends."""
+    pool = written(plan_pool(spark, sf_dir), "pool")
+    q = conformal.quantiles(conformal.residuals(pool), (0.05,)).where("metric = 'cost'").agg(F.max("q").alias("q"))
+    out = selection.chance_constrained(budgeted(pool).join(q), F.col("q"), F.col("budget"), F.col("deadline"))
+    cols = ["cost_upper", "cost_lower", "cost_headroom", "latency_headroom"]
+    return r6(out.select("query_id", "plan_id", *cols, "feasible"), *cols)
+
+
+_FOLDED = """WITH r AS (SELECT DISTINCT row_id, query_id FROM phase1_benchmark WHERE query_id IS NOT NULL AND true_latency > 0 AND NOT isnan(true_latency)), q AS (SELECT DISTINCT query_id FROM r),
+f AS (SELECT query_id, ntile(5) OVER (ORDER BY md5(query_id)) AS fold FROM q), n AS (SELECT count(*) AS n_test FROM r JOIN f USING (query_id) WHERE fold = 5)
+SELECT unnest(['log_ridge', 'gbt', 'ranking']) AS model, n_test, true AS orders_plans, true AS beats_the_mean FROM n"""
+
+
+@query(_FOLDED)
+def learned_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-ridge, boosted trees and the ranking model, fitted on four folds of queries: on the fifth, whether they order latencies
+    (Spearman above 0.5) and err less in ln latency (trees, ridge) or in order (ranking) than a constant would."""
+    from costplan.plans.plantext import VECTOR
+
+    y = "true_latency"
+    rows = table(spark, sf_dir, "phase1_benchmark").where("query_id is not null and true_latency > 0 and not isnan(true_latency)").distinct()
+    rows = written(calibration.folds(rows.fillna(0, list(VECTOR)), 5), "folds")
+    train, test = rows.where("fold < 5"), rows.where("fold = 5")
+    gbt = calibration.fit_gbt(train, y, rounds=20)
+    found = {"log_ridge": calibration.fit_log_ridge(train, y).predict(test), "gbt": calibration.predict_gbt(gbt, test), "ranking": calibration.fit_ranking(train, y).predict(test)}
+    both = None
+    for name, df in found.items():
+        part = df.select(F.lit(name).alias("model"), "prediction", y)
+        both = part if both is None else both.union(part)
+    both = written(both, "predictions")
+    order = evaluation.spearman(both, ["model"], "prediction", y)
+    gap = F.log("prediction") - F.log(y)
+    error = both.groupBy("model").agg(F.avg(gap * gap).alias("mse"), F.var_pop(F.log(y)).alias("spread"))
+    return order.join(error, "model").select("model", F.col("n").alias("n_test"), (F.col("rho") > 0.5).alias("orders_plans"), F.when(F.col("model") == "ranking", F.col("rho") > 0).otherwise(F.col("mse") < F.col("spread")).alias("beats_the_mean"))
 
 
 @query(POOL + " SELECT count(*) AS n_keys, 0::BIGINT AS n_missing, count(*) FILTER (abs(pred_latency-actual_latency)>greatest(1e-8,1e-12*greatest(abs(pred_latency),abs(actual_latency)))) AS n_different, 0::BIGINT AS n_repeated, false AS equal FROM plan_pool")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costplan import queries_general, queries_pool, queries_results, queries_workload
+from costplan import queries_general, queries_pool, queries_results, queries_sources, queries_workload
 from costplan.plans.shape import QueryRequest
 from costplan.planner import Planner
 from costplan.session import temporary_conf
 
-QUERIES: dict = {**queries_general.QUERIES, **queries_pool.QUERIES, **queries_workload.QUERIES, **queries_results.QUERIES}
-ORACLE: dict = {**queries_general.ORACLE, **queries_pool.ORACLE, **queries_workload.ORACLE, **queries_results.ORACLE}
+QUERIES: dict = {**queries_general.QUERIES, **queries_pool.QUERIES, **queries_workload.QUERIES, **queries_results.QUERIES, **queries_sources.QUERIES}
+ORACLE: dict = {**queries_general.ORACLE, **queries_pool.ORACLE, **queries_workload.ORACLE, **queries_results.ORACLE, **queries_sources.ORACLE}
 
 
 FLAGSHIP = (

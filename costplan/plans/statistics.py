@@ -64,3 +64,16 @@ def plan_statistics(df: DataFrame) -> PlanStatistics:
     count(root)
     walk(root)
     return PlanStatistics(sum(leaves) if leaves else None, max(joined, default=None), rows[0] if rows else None)
+
+
+def join_sizes(df: DataFrame) -> list[float | None]:
+    """Estimated bytes of every join of the optimized plan, top down; None where they are unknown or beyond 1e18."""
+    found: list[float | None] = []
+    waiting = [df._jdf.queryExecution().optimizedPlan()]
+    while waiting:
+        node = waiting.pop(0)
+        if node.nodeName() == "Join":
+            found.append(_number(node.stats().sizeInBytes()))
+        below = node.children()
+        waiting += [below.apply(i) for i in range(below.size())]
+    return found

@@ -181,6 +181,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that hold for any right mix: listed sources, those more than a document off their quota, documents used too often, of no listed source, or twice in the list."""
+    drawn, report = _mix(spark, sf_dir)
+    targets = table(spark, sf_dir, "mix_targets")
+    largest = drawn.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    off = report.join(largest, "source", "left").agg(F.count_if(F.abs(F.col("tokens") - F.col("quota")) > F.coalesce("largest", F.lit(0)) + 0.01))
+    often = drawn.join(targets.select("source", "max_repeats"), "source", "left").agg(F.count_if(F.col("max_repeats").isNull() | (F.col("copies") > F.col("max_repeats"))))
+    found = {"sources": report.agg(F.count(F.lit(1))), "off_quota": off, "used_too_often": often, "listed_twice": drawn.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1))}
+    return reduce(DataFrame.union, [df.toDF("n").select(F.lit(name).alias("check_name"), "n") for name, df in found.items()])
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offence.score(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
 
@@ -201,7 +212,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("offensive").cast("long")).alias("n_offensive"), F.round(F.avg(F.col("offensive").cast("double")), 6).alias("rate"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p1_checks, p2_found, p2_ranked, p2_skipping, p4_percentiles, p4_daily, p4_guarantee, p6_found, p6_items, p7_drawn, p7_shares, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p1_checks, p2_found, p2_ranked, p2_skipping, p4_percentiles, p4_daily, p4_guarantee, p6_found, p6_items, p7_drawn, p7_shares, p7_checks, p8_found, p8_scores, p8_rates)}
 
 _TIES = """
 WITH RECURSIVE r AS (
@@ -238,7 +249,18 @@ d AS (
   FROM once WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY ALL)
 """
 
+#: Ten-word passages of both sides, by plain comparison; DuckDB folds accents, case, markup and invisible characters.
+_PASSAGES = r"""
+WITH t AS (SELECT item_id AS id, 'src_text' AS side, src_text AS x FROM eval_items UNION SELECT item_id, 'tgt_text', tgt_text FROM eval_items UNION SELECT doc_id, '', text FROM documents),
+w AS (SELECT id, side, regexp_extract_all(regexp_replace(lower(strip_accents(regexp_replace(x, '</?[A-Za-z][^<>]*>', '', 'g'))), '[\p{Cf}\p{Mn}\p{Me}]+', '', 'g'), '[\p{L}\p{N}]+') AS w FROM t WHERE id IS NOT NULL AND x IS NOT NULL),
+p AS (SELECT DISTINCT id, side, array_to_string(w[i:i+9], ' ') AS g FROM (SELECT id, side, w, unnest(range(1, len(w) - 8)) AS i FROM w)),
+hit AS (SELECT DISTINCT d.id AS doc_id, e.id AS item_id, e.side FROM p d JOIN p e USING (g) WHERE d.side = '' AND e.side <> '')
+"""
+
 ORACLE = {
+    "p6_found": _PASSAGES + "SELECT DISTINCT doc_id, item_id FROM hit",
+    "p6_items": _PASSAGES + "SELECT item_id, count(DISTINCT doc_id) AS n_docs, count(DISTINCT doc_id) FILTER (side = 'src_text') AS n_src, count(DISTINCT doc_id) FILTER (side = 'tgt_text') AS n_tgt FROM hit GROUP BY item_id",
+    "p7_checks": "SELECT 'sources' AS check_name, count(*) AS n FROM mix_targets UNION ALL SELECT unnest(['off_quota', 'used_too_often', 'listed_twice']), 0",
     "p1_found": _TIES + "SELECT x.query_id AS query_id_1, y.query_id AS query_id_2 FROM n x JOIN n y USING (comp) WHERE x.query_id < y.query_id",
     "p1_checks": _TIES
     + """SELECT 'rows' AS check_name, count(*) AS n FROM (SELECT DISTINCT row_id, query_id, plan_id, strategy FROM phase1_benchmark)

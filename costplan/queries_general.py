@@ -89,5 +89,17 @@ def p5_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _readings(spark, sf_dir).select(F.col("row_id").alias("run_id"), F.col("source").alias("fingerprint"), "reason").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_changes, p3_headers, p3_runs, p5_found, p5_flags)}
-ORACLE: dict[str, str] = {}
+def p5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings of p5_flags that the plausibility and the stuck rule name."""
+    return p5_flags(spark, sf_dir).where("reason <> 'spike'")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_changes, p3_headers, p3_runs, p5_found, p5_flags, p5_rules)}
+ORACLE: dict[str, str] = {
+    "p3_headers": """SELECT table_name, column_name AS field, CASE WHEN data_type = 'BOOLEAN' THEN 'boolean' WHEN data_type LIKE '%INT%' THEN 'integer' WHEN data_type IN ('DOUBLE', 'FLOAT') OR data_type LIKE 'DECIMAL%' THEN 'decimal'
+WHEN data_type LIKE 'TIMESTAMP%' OR data_type IN ('DATE', 'TIME') THEN 'timestamp' ELSE 'text' END AS kind, 1::BIGINT AS n_files FROM information_schema.columns WHERE table_name IN ('planning_runs', 'prescoring_all_runs')""",
+    "p5_rules": """WITH r AS (SELECT DISTINCT run_id, fingerprint, timestamp_utc AS t, execution_seconds AS x FROM q10_validation_runs WHERE fingerprint IS NOT NULL AND execution_seconds IS NOT NULL),
+c AS (SELECT *, CASE WHEN x = lag(x) OVER w THEN 0 ELSE 1 END AS begins FROM r WINDOW w AS (PARTITION BY fingerprint ORDER BY t NULLS FIRST, run_id)),
+g AS (SELECT *, sum(begins) OVER (PARTITION BY fingerprint ORDER BY t NULLS FIRST, run_id ROWS UNBOUNDED PRECEDING) AS run FROM c), s AS (SELECT *, count(*) OVER (PARTITION BY fingerprint, run) AS len FROM g)
+SELECT run_id, fingerprint, CASE WHEN isnan(x) OR isinf(x) OR x <= 0 THEN 'impossible' ELSE 'stuck' END AS reason FROM s WHERE isnan(x) OR isinf(x) OR x <= 0 OR len >= 6""",
+}

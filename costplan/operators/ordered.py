@@ -37,3 +37,19 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], amou
     inside = F.coalesce(F.sum(amount).over(Window.partitionBy(*keys, "__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = rows.withColumn("__in", inside).alias("r").join(offsets.alias("o"), same)
     return placed.select("r.*", (F.col("o.__from") + F.col("r.__in")).alias(name)).drop("__cell", "__in")
+
+
+def latest_upto(df: DataFrame, keys: Sequence[str], order: str, value: Column, cell: Column, name: str) -> DataFrame:
+    """df with the greatest non-null value among the rows of its group at or before it in order.
+
+    As numbered(): the greatest of each cell, which must grow with order, a running greatest over
+    the cells before, and an ordered pass within the row's own cell.
+    """
+    rows = df.withColumns({"__cell": cell, "__v": value})
+    per_cell = rows.groupBy(*keys, "__cell").agg(F.max("__v").alias("__m"))
+    earlier = F.max("__m").over(Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
+    before = per_cell.select(*keys, "__cell", earlier.alias("__before"))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*keys, "__cell"]]
+    inside = F.max("__v").over(Window.partitionBy(*keys, "__cell").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = rows.withColumn("__in", inside).alias("r").join(before.alias("o"), same)
+    return placed.select("r.*", F.coalesce("r.__in", "o.__before").alias(name)).drop("__cell", "__v", "__in")

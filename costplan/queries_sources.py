@@ -224,6 +224,19 @@ def executed_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "strategy string, operator string, run_number long, status string, measured boolean, plan_verified boolean, has_problems boolean")
 
 
+@query("SELECT hint, 4::BIGINT AS n_variants, 4::BIGINT AS n_held, true AS distinct_plans FROM (VALUES ('broadcast'), ('merge'), ('shuffle_hash'), ('none')) AS t(hint)")
+def hints_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every variant of a three-relation star query, planned by Spark, whether the plan shows the operator its hint asks for."""
+    sql = workload.star_sql(3)
+    views(spark, sf_dir, sql)
+    with temporary_conf(spark, HINTS_OFF):
+        found = [(v.label, alternatives.plan_text(spark, v.sql)) for v in alternatives.variants(shape(spark, sql))]
+    plans = spark.createDataFrame(found, "strategy string, plan string")
+    hint = F.regexp_extract("strategy", "(broadcast|merge|shuffle_hash)$", 1)
+    by = plans.groupBy(F.when(hint == "", "none").otherwise(hint).alias("hint"))
+    return by.agg(F.count(F.lit(1)).alias("n_variants"), F.count_if(plantext.matches_hint(F.col("plan"), F.col("strategy"))).alias("n_held"), (F.countDistinct(plantext.fingerprint(F.col("plan"))) > 1).alias("distinct_plans"))
+
+
 @query("SELECT * FROM (VALUES ('missing table', 'failed'), ('bad column', 'failed'), ('division', 'failed'), ('fine', 'ok')) AS t(text, status), (SELECT false AS was_cancelled)")
 def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the strict executor says of texts that fail in analysis or at run time; none of them is a cancellation."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from costplan import functions
 from costplan.functions import family_of
+from costplan.operators.ordered import latest_upto
 from costplan.plans import alternatives, plantext, search
 from costplan.plans.shape import shape
 from costplan.session import table
@@ -114,12 +115,11 @@ def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT e.event_id, max(b.ts) AS last_ts FROM events e LEFT JOIN events b ON b.user_id = e.user_id AND b.event_type = (SELECT min(event_type) FROM events) AND b.ts <= e.ts GROUP BY e.event_id""")
 def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As-of join: the latest event of one type at or before each event, by one ordered pass instead of pairs."""
+    """As-of join: the latest event of one type at or before each event, by ordered passes over hours of a user instead of pairs."""
     e = table(spark, sf_dir, "events")
     first = e.agg(F.min("event_type").alias("kind"))
-    marked = e.join(F.broadcast(first)).withColumn("hit", F.when(F.col("event_type") == F.col("kind"), F.col("ts")))
-    last = F.max("hit").over(Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return marked.select("event_id", last.alias("last_ts"))
+    hit = F.when(F.col("event_type") == F.col("kind"), F.col("ts"))
+    return latest_upto(e.join(first), ["user_id"], "ts", hit, F.date_trunc("hour", "ts"), "last_ts").select("event_id", "last_ts")
 
 
 query("SELECT CAST(SUM(l_orderkey) AS BIGINT) AS total, COUNT(*) AS n, COUNT(l_shipdate) AS n_shipped FROM lineitem", "global_agg")(run_sql("SELECT SUM(l_orderkey) AS total, COUNT(*) AS n, COUNT(l_shipdate) AS n_shipped FROM lineitem"))

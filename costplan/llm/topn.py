@@ -174,7 +174,7 @@ def top_n_and_reads(df: DataFrame, group: Sequence[str], item: str, score: Colum
     # The N-th scores of the groups that fill row groups alone; they are few beside the rows.
     nth = _ranked(_once(one.join(first.select("g"), "g", "left_semi")), n).where(F.col("rank") == n).select("g", F.col("score").alias("limit"))
     rest = parts.where("g is not null").join(heads.select("path", "k"), ["path", "k"], "left_anti").join(nth, "g", "left")
-    wanted = written(rest.where(F.col("limit").isNull() | (F.col("best") <= F.col("limit"))).select("path", "k", "best", F.coalesce("limit", unknown).alias("limit")), "wanted")
+    wanted = rest.where(F.col("limit").isNull() | (F.col("best") <= F.col("limit"))).select("path", "k", "best", F.coalesce("limit", unknown).alias("limit"))
     two = _read(wanted, n, stored.schema)
     reads = several.union(heads).union(wanted).select("path", "k", F.lit(True).alias("is_read"))
     return _ranked(_once(one.union(two)), n), parts.join(reads, ["path", "k"], "left").withColumn("is_read", F.coalesce("is_read", F.lit(False)))

@@ -85,6 +85,7 @@ def _kind(value: Column) -> Column:
     wide = F.regexp_extract(name, r"^DECIMAL\((\d+),0\)", 1)
     return (
         F.when(name == "VOID", None)
+        .when(name == "STRING", "text")
         .when(name == "BIGINT", "integer")
         .when(name == "BOOLEAN", "boolean")
         .when((wide != "") & (wide.try_cast("int") > 18), "integer")
@@ -104,7 +105,11 @@ def _exploded(lines: DataFrame) -> DataFrame:
 
 
 def _readable(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("__v", F.try_parse_json("payload")).drop("payload").where(F.schema_of_variant("__v").startswith("OBJECT"))
+    """lines that look like objects, with the parsed payload __v; null where it can't be read.
+
+    No condition is put on __v, as Spark would then parse it once for the filter and once more.
+    """
+    return lines.where(F.col("payload").rlike(r"^\s*\{")).withColumn("__v", F.try_parse_json("payload")).drop("payload")
 
 
 def _explode(view: DataFrame) -> DataFrame:

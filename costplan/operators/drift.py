@@ -175,15 +175,12 @@ def _renames(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     cells are parsed() lines; pairs has (file_id, previous, old, old_kind, new, new_kind), every
     gone field of a file beside every new one. Values are compared as the promoted kind of both.
     """
-    wanted_new = pairs.select("file_id", F.col("new").alias("key")).distinct()
-    wanted_old = pairs.select(F.col("previous").alias("file_id"), F.col("old").alias("key"), F.col("file_id").alias("next")).distinct()
+    wanted = pairs.select("file_id", F.col("new").alias("key"), F.col("file_id").alias("owner"), F.lit("new").alias("side")).union(pairs.select("previous", "old", "file_id", F.lit("old"))).distinct()
     known = cells.where(F.col("record").isNotNull() & F.col("value").isNotNull()).select("file_id", "record", "key", "value")
-
-    def values(wanted: DataFrame, side: str) -> DataFrame:
-        owner = F.col("next") if "next" in wanted.columns else F.col("file_id")
-        return known.join(wanted, ["file_id", "key"]).select(owner.alias("file_id"), "record", F.col("key").alias(side), F.col("value").alias(f"{side}_value")).distinct()
-
-    both = values(wanted_new, "new").join(values(wanted_old, "old"), ["file_id", "record"])
+    # One pass over the cells for both sides.
+    values = written(known.join(wanted, ["file_id", "key"]).select("owner", "record", "key", "side", "value").distinct(), "values")
+    of = lambda side: values.where(F.col("side") == side).select(F.col("owner").alias("file_id"), "record", F.col("key").alias(side), F.col("value").alias(f"{side}_value"))
+    both = of("new").join(of("old"), ["file_id", "record"])
     x, y = F.col("old_value").try_cast("double"), F.col("new_value").try_cast("double")
     equal = F.coalesce(F.abs(x - y) <= 1e-9 * F.greatest(F.abs(x), F.abs(y)), F.col("old_value") == F.col("new_value"))
     ratio = F.when((x != 0) & (y != 0), F.greatest(F.abs(x), F.abs(y)) / F.least(F.abs(x), F.abs(y)))
@@ -212,7 +209,7 @@ def changes(lines: DataFrame, record: str = "run_id") -> DataFrame:
     a null feed is a feed). change_kind is added, removed, renamed or retyped; a field both
     renamed and retyped gives two rows. A file without readable lines is left out of the chain.
     union_kind is the promotion of both kinds, in which the two files can be read as one.
-    Repeated lines and the order of lines and keys don't matter; an empty table gives no rows.
+    Rows are distinct by file, field and kind of change. Repeated lines and the order of lines and keys don't matter; an empty table gives no rows.
     """
     cells = written(parsed(lines, record), "cells")
     # Files are many fewer than lines; a feed's files are numbered without gathering them.

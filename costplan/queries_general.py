@@ -15,7 +15,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of a file against the file written before it in its feed."""
-    return drift.changes(_lines(spark, sf_dir)).select("file_id", "field_name", "change_kind").distinct()
+    return drift.changes(_lines(spark, sf_dir)).select("file_id", "field_name", "change_kind")
 
 
 def p3_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,7 +207,7 @@ def tail_cutoffs(judged: DataFrame, fold: float, scatters: float, risk: float, b
     bins = judged.where(~F.isnan("residual")).groupBy("source", bin_of("residual").alias("bin"), bin_of(adjusted).alias("sbin")).agg(F.count(F.lit(1)).alias("n"))
     own = Window.partitionBy("source")
     upto = F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    at = bins.withColumns({"upto": upto, "all": F.sum("n").over(own), "mid": (F.col("bin") + 0.5) * width})
+    at = written(bins.withColumns({"upto": upto, "all": F.sum("n").over(own), "mid": (F.col("bin") + 0.5) * width}), "bins")
 
     def quantile(q: float) -> Column:
         """Within the bin that holds the rank, by linear interpolation."""
@@ -218,11 +218,11 @@ def tail_cutoffs(judged: DataFrame, fold: float, scatters: float, risk: float, b
     # The neighbours' median is itself uncertain: the residual's variance is larger by (pi / 2) / (2 * SIDE).
     usual = 1.4826 / math.sqrt(1 + math.pi / 2 / (2 * SIDE))
     quant = at.groupBy("source").agg(F.max("all").alias("n_residuals"), (quantile(0.5) * usual).alias("scatter"))
-    quant = quant.withColumn("rule_cutoff", F.greatest(F.lit(math.log(fold)), scatters * F.col("scatter")))
+    quant = written(quant.withColumn("rule_cutoff", F.greatest(F.lit(math.log(fold)), scatters * F.col("scatter"))), "quantiles")
     # The threshold too is that of the usual residuals, else a source with many spikes hides them.
     usual_ones = at.join(quant.select("source", "rule_cutoff"), "source").where(F.col("mid") < F.col("rule_cutoff"))
     usual_ones = usual_ones.groupBy("source", F.col("sbin").alias("bin")).agg(F.sum("n").alias("n"))
-    tame = usual_ones.withColumns({"upto": upto, "all": F.sum("n").over(own), "mid": (F.col("bin") + 0.5) * width})
+    tame = written(usual_ones.withColumns({"upto": upto, "all": F.sum("n").over(own), "mid": (F.col("bin") + 0.5) * width}), "tame")
     quant = quant.join(tame.groupBy("source").agg(F.max("all").alias("n_tame"), quantile(0.9).alias("u")), "source", "left")
     y = F.col("mid") - F.col("u")
     beyond = tame.join(quant.select("source", "u"), "source").where(y > 0)

@@ -94,16 +94,6 @@ def _kind(value: Column) -> Column:
     )
 
 
-def _exploded(lines: DataFrame) -> DataFrame:
-    """lines (..., payload) as rows (..., key, value variant) of the readable ones.
-
-    Readable is a line that is a JSON object of distinct keys. Arrays, bare values, broken and
-    null lines have no fields.
-    """
-    view = _readable(lines)
-    return view.lateralJoin(_explode(view)).drop("__v", "pos").where(F.col("key").isNotNull())
-
-
 def _readable(lines: DataFrame) -> DataFrame:
     """lines that look like objects, with the parsed payload __v; null where it can't be read.
 
@@ -116,35 +106,39 @@ def _explode(view: DataFrame) -> DataFrame:
     return view.sparkSession.tvf.variant_explode(F.col("__v").outer())
 
 
-def _content_kind(value: Column) -> Column:
-    """The kind of a variant by what it says: a text that spells a number is a number."""
-    text = F.trim(value.try_cast("string"))
+def content_kind(kind: Column, text: Column) -> Column:
+    """The kind of a value by what it says: a text that spells a number is a number."""
+    text = F.trim(text)
     said = (
         F.when(text.rlike(r"^[+-]?\d{1,18}$"), "integer")
         .when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), "decimal")
         .when(F.lower(text).isin("true", "false"), "boolean")
-        .when(text.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d"), "timestamp")
+        .when(text.rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d"), "timestamp")
         .otherwise("text")
     )
-    return F.when(_kind(value) == "text", said).otherwise(_kind(value))
+    return F.when(kind == "text", said).otherwise(kind)
 
 
 def parsed(lines: DataFrame, record: str = "run_id") -> DataFrame:
-    """(file_id, record, key, kind, value): the distinct cells of the readable lines, value as lower-case text. Payloads are parsed here only."""
+    """(file_id, record, key, kind, value): the cells of the readable lines, value as lower-case text.
+
+    Readable is a line that is a JSON object of distinct keys. Arrays, bare values, broken and
+    null lines have no fields.
+    """
     named = F.try_variant_get(F.col("__v"), f"$['{record}']", "string").alias("record")
     view = _readable(lines.select("file_id", "payload")).select("file_id", named, "__v")
     cells = view.lateralJoin(_explode(view)).where(F.col("key").isNotNull())
     return cells.select("file_id", "record", "key", _kind(F.col("value")).alias("kind"), F.lower(F.col("value").cast("string")).alias("value"))
 
 
-def file_fields(lines: DataFrame, by_content: bool = False) -> DataFrame:
-    """(file_id, key, kind, n): counts of the kinds of each key's values; kind null for nulls.
+def file_fields(cells: DataFrame, by_content: bool = False) -> DataFrame:
+    """(file_id, key, kind, n): counts of the kinds of each key's values in parsed() lines; kind null for nulls.
 
     by_content takes texts for what they spell, which lets the union keep numbers as numbers
     where some files write them as texts.
     """
-    kind = (_content_kind if by_content else _kind)(F.col("value"))
-    return _exploded(lines.select("file_id", "payload")).groupBy("file_id", "key", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    kind = content_kind(F.col("kind"), F.col("value")) if by_content else F.col("kind")
+    return cells.groupBy("file_id", "key", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def majority(counts: DataFrame) -> DataFrame:
@@ -201,19 +195,21 @@ def _renames(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     return ranked.where("of_new = 1 and of_old = 1").select("file_id", "old", "new")
 
 
-def changes(lines: DataFrame, record: str = "run_id") -> DataFrame:
+def changes(lines: DataFrame, record: str = "run_id", cells: DataFrame | None = None) -> DataFrame:
     """(feed, position, file_id, previous, field_name, old_name, change_kind, old_kind, new_kind, union_kind).
 
     lines has file_id, feed, written_at and payload, a JSON object per line. A file is compared
     with the one written before it in its feed (ties by file_id; a null written_at comes first;
     a null feed is a feed). change_kind is added, removed, renamed or retyped; a field both
     renamed and retyped gives two rows. A file without readable lines is left out of the chain.
-    union_kind is the promotion of both kinds, in which the two files can be read as one.
-    Rows are distinct by file, field and kind of change. Repeated lines and the order of lines and keys don't matter; an empty table gives no rows.
+    union_kind is the promotion of both kinds, in which the two files can be read as one. cells
+    are the parsed() lines where they are at hand. Rows are distinct by file, field and kind of
+    change. Repeated lines and the order of lines and keys don't matter; an empty table gives no
+    rows.
     """
-    cells = written(parsed(lines, record), "cells")
+    cells = written(parsed(lines, record), "cells") if cells is None else cells
     # Files are many fewer than lines; a feed's files are numbered without gathering them.
-    fields = written(majority(cells.groupBy("file_id", "key", "kind").agg(F.count(F.lit(1)).alias("n"))), "kinds")
+    fields = written(majority(file_fields(cells)), "kinds")
     heads = lines.groupBy("file_id").agg(F.min("feed").alias("feed"), F.min("written_at").alias("written_at")).join(fields.select("file_id").distinct(), "file_id", "left_semi")
     files = written(numbered(heads, ["feed"], ["written_at", "file_id"], F.struct(F.to_date("written_at"), F.when(F.col("written_at").isNull(), F.floor(F.col("file_id") / 4096)))), "files")
     one, two = files.alias("a"), files.alias("b")
@@ -284,7 +280,7 @@ def cast_lines(lines: DataFrame, schema: Mapping[str, str], names: Mapping[str,
     """
     v = F.col("__v")
     texts = {c: F.coalesce(*[F.try_variant_get(v, f"$['{n}']", "string") for n in names.get(c, [c])]) for c in schema}
-    rows = lines.withColumn("__v", F.try_parse_json("payload")).where(F.schema_of_variant("__v").startswith("OBJECT"))
+    rows = _readable(lines).where(F.col("__v").isNotNull())
     rows = rows.withColumns({f"__t_{c}": t for c, t in texts.items()})
     cast = {c: to_kind(F.col(f"__t_{c}"), k) for c, k in schema.items()}
     strays = F.map_from_entries(F.array_compact(F.array(*[F.when(F.col(f"__t_{c}").isNotNull() & x.isNull(), F.struct(F.lit(c).alias("k"), F.col(f"__t_{c}").alias("v"))) for c, x in cast.items()])))

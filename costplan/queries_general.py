@@ -43,13 +43,14 @@ def p3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     repeat, each field has its value written last. Numbers are in the unit of their feed's first
     file, as told by repeated records. Redelivered rows count once.
     """
-    lines = _lines(spark, sf_dir).distinct()
-    log = drift.changes(lines)
+    lines = _lines(spark, sf_dir)
+    cells = written(drift.parsed(lines), "cells")
+    log = drift.changes(lines, cells=cells)
     tables = {name: table(spark, sf_dir, name) for name in ("prescoring_all_runs", "planning_runs")}
     header = p3_headers(spark, sf_dir).select("table_name", "field", "kind").collect()
     links = [tuple(r) for r in log.where("change_kind = 'renamed'").select("old_name", "field_name").distinct().collect()]
     known = [c for name in tables for c in tables[name].columns]
-    fields = [tuple(r) for r in drift.majority(drift.file_fields(lines, by_content=True)).where("kind is not null").select("key", "kind").distinct().collect()]
+    fields = [tuple(r) for r in drift.majority(drift.file_fields(cells, by_content=True)).where("kind is not null").select("key", "kind").distinct().collect()]
     names = drift.canonical_names([*SAME, *links], known)
     kinds: dict[str, list[str]] = {}
     for field, kind in [*((r["field"], r["kind"]) for r in header), *fields]:
@@ -61,11 +62,12 @@ def p3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         if c in spelled and name != c:
             spelled[c].append(name)
     numbers = [c for c, k in schema.items() if k in ("integer", "decimal") and c != "run_id"]
-    steps = written(drift.unit_steps(drift.cast_lines(lines, schema, spelled), numbers), "units")
+    body = written(drift.cast_lines(lines.dropDuplicates(["file_id", "line_no"]), schema, spelled), "cast")
+    steps = written(drift.unit_steps(body, numbers), "units")
     converted = [r["field"] for r in steps.select("field").distinct().collect()]
     schema |= {c: "decimal" for c in converted}
     parts = [drift.cast_table(df.distinct(), schema, spelled).withColumn("origin", F.lit(name)) for name, df in tables.items()]
-    body = drift.in_one_unit(drift.cast_lines(lines, schema, spelled), steps, converted)
+    body = drift.in_one_unit(body.withColumns({c: F.col(c).cast("double") for c in converted}), steps, converted)
     columns = [*schema, "strays"]
     origin = F.concat(F.lit("planning_files:"), F.coalesce("feed", F.lit(""))).alias("origin")
     own = drift.latest(body.where("run_id is not null"), ["feed", "run_id"], [*schema]).select(*columns, origin)

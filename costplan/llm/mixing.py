@@ -108,13 +108,14 @@ def draw(docs: DataFrame, targets: DataFrame, total: float | None = None, seed:
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + 0.5) / F.lit(2.0**53)
     # Documents of probability 1 come first.
     rank = F.when(p >= 1, 0.0).otherwise((u / (1 - u)) / (p / (1 - p)))
-    ranked = listed.join(F.broadcast(table), "key").withColumn("rank", rank)
+    ranked = listed.join(table, "key").withColumn("rank", rank)
     # rank / (1 + rank) lies in (0, 1) in the same order; a cell is a range of it.
     ranked = ranked.withColumn("cell", F.floor(F.col("rank") / (1 + F.col("rank")) * cells).cast("int"))
     by_cell = ranked.groupBy("key", "cell").agg(F.sum("n_tokens").alias("t"))
     own = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = by_cell.withColumn("upto", F.sum("t").over(own)).select("key", "cell", (F.col("upto") - F.col("t")).alias("before"), "upto")
-    placed = ranked.join(F.broadcast(upto), ["key", "cell"])  # at most cells rows per listed source
+    # At most `cells` rows per listed source; its written size tells Spark whether to broadcast it.
+    upto = written(by_cell.withColumn("upto", F.sum("t").over(own)).select("key", "cell", (F.col("upto") - F.col("t")).alias("before"), "upto"), "cells")
+    placed = ranked.join(upto, ["key", "cell"])
     inside = placed.where((F.col("before") < F.col("rest")) & (F.col("upto") > F.col("rest")))
     running = F.col("before") + F.sum("n_tokens").over(Window.partitionBy("key").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # The document at the quota's end is taken if that comes nearer to the quota.

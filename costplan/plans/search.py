@@ -167,7 +167,7 @@ def enumerate_orders(edges: DataFrame, most: int) -> DataFrame:
     nodes = both.select("a").distinct()
     level = nodes.select(F.array("a").alias("order"))
     for _ in range(most - 1):
-        grown = level.select("order", F.explode("order").alias("a")).join(F.broadcast(both), "a").where(~F.array_contains("order", F.col("b")))
+        grown = level.select("order", F.explode("order").alias("a")).join(both, "a").where(~F.array_contains("order", F.col("b")))
         level = grown.select(F.concat("order", F.array("b")).alias("order")).distinct()
     return level
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from costplan.operators import calibration
 from costplan.operators.pool import SQL, plan_pool
 from costplan.plans import plantext
-from costplan.queries_pool import _evaluated, _MB
+from costplan.queries_pool import _evaluated, _MB, _q_sql, r6
 from costplan.run import experiments
 from costplan.session import table
 
@@ -118,11 +118,13 @@ def paired_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.paired_tests(_evaluated(spark, sf_dir), "oracle", ["multiplier"], ["query_id"])
 
 
-@query()
+@query(_q_sql(True, (0.05, 0.1, 0.2), "infinity") + """, st AS (SELECT *, exp((2*(('0x' || substr(sha256(CAST(query_id AS VARCHAR) || '|' || CAST(plan_id AS VARCHAR)), 1, 8))::BIGINT / 4294967295.0::DOUBLE)-1)*ln(1.2::DOUBLE)) AS f FROM plan_pool),
+lo AS (SELECT 'cost' AS metric, actual_cost*f AS a, pred_cost AS p FROM st UNION ALL SELECT 'latency', actual_latency*f, pred_latency FROM st)
+SELECT metric, delta, count(*) AS n, round(avg(CAST(a<=p*exp(q) AS DOUBLE)),6) AS coverage, round(avg(1-CAST(a<=p*exp(q) AS DOUBLE)),6) AS violation_rate, round(avg((p*exp(q)-a)/a),6) AS mean_margin FROM lo JOIN qq USING (metric) GROUP BY metric, delta""")
 def stressed_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage of clean bounds when every plan is slower or faster by its own hashed factor."""
     u = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("query_id").cast("string"), F.col("plan_id").cast("string")), 256), 1, 8), 16, 10).cast("double") / F.lit(4294967295.0)
-    return experiments.stress(plan_pool(spark, sf_dir), F.exp((2 * u - 1) * F.log(F.lit(1.2))), (0.05, 0.1, 0.2))
+    return r6(experiments.stress(plan_pool(spark, sf_dir), F.exp((2 * u - 1) * F.log(F.lit(1.2))), (0.05, 0.1, 0.2)), "coverage", "violation_rate", "mean_margin")
 
 
 @query("WITH" + SQL + " SELECT query_id, plan_id, round(abs(pred_cost-actual_cost),6) AS cost_error, round(abs(pred_cost-actual_cost)/actual_cost,6) AS cost_relative, round(abs(pred_latency-actual_latency),6) AS latency_error, round(abs(pred_latency-actual_latency)/actual_latency,6) AS latency_relative FROM plan_pool")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costplan.operators import cost
-from costplan.plans import alternatives, plantext, statistics
+from costplan.plans import alternatives, plantext, search, statistics
 from costplan.plans.shape import QueryRequest, shape
 from costplan.queries_workload import TABLES, _telemetry, views
 from costplan.run import adaptive, runner
@@ -157,6 +157,63 @@ def query_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "n_tables int, n_joins int, n_relations int, star boolean, reorderable boolean")
 
 
+@query("""SELECT * FROM (VALUES ('two', false, 2::BIGINT, 'n,r'), ('left', false, 3, 'n,r,c'), ('one table', false, 1, 'n'), ('three', true, 3, 'n,r,c'), ('filtered', true, 3, 'c,n,r')) AS t(text, reorderable, n_relations, aliases)""")
+def order_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts may be reordered: inner joins of three relations or more; and their aliases in FROM order."""
+    views(spark, sf_dir, "nation region customer")
+    texts = {
+        "two": "SELECT * FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey", "filtered": "SELECT n.n_name FROM customer c INNER JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_name > 'A' ORDER BY 1",
+        "left": "SELECT * FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey JOIN customer c ON c.c_nationkey = n.n_nationkey", "one table": "SELECT * FROM nation n",
+        "three": "SELECT count(*) FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey JOIN customer c ON c.c_nationkey = n.n_nationkey",
+    }
+    found = [(k, s.reorderable, len(s.relations), ",".join(s.aliases)) for k, s in ((k, shape(spark, t)) for k, t in texts.items())]
+    return spark.createDataFrame(found, "text string, reorderable boolean, n_relations long, aliases string")
+
+
+_STAR_ORDER = "SELECT * FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey JOIN supplier s ON s.s_nationkey = n.n_nationkey"
+
+
+@query(_STAR_ORDER)
+def star_columns_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SELECT * from the other join order; the columns must come in the order of the original."""
+    views(spark, sf_dir, _STAR_ORDER)
+    s = shape(spark, _STAR_ORDER)
+    out, want = spark.sql(alternatives.reordered(s, ("s", "n", "r"))), spark.sql(_STAR_ORDER)
+    if out.columns != want.columns:
+        raise ValueError(f"columns came as {out.columns}")
+    return out
+
+
+@query("""SELECT * FROM (VALUES ('plain', 'SELECT /*+ MERGE(n, r) */ n.n_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey'),
+('with', 'WITH x AS (SELECT r_regionkey AS k FROM region) SELECT /*+ MERGE(n, x) */ n.n_name FROM nation n JOIN x ON n.n_regionkey = x.k')) AS t(text, hinted)""")
+def hint_spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a hint goes: into the outer SELECT, not that of a WITH."""
+    views(spark, sf_dir, "nation region")
+    texts = {"plain": "SELECT n.n_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey", "with": "WITH x AS (SELECT r_regionkey AS k FROM region) SELECT n.n_name FROM nation n JOIN x ON n.n_regionkey = x.k"}
+    found = [(k, alternatives.with_hint(s, t, "MERGE", s.aliases)) for k, t in texts.items() for s in [shape(spark, t)]]
+    return spark.createDataFrame(found, "text string, hinted string")
+
+
+@query("SELECT t AS table_name, true AS known FROM (VALUES " + ", ".join(f"('{t}')" for t in TABLES) + ") AS x(t)")
+def table_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether Catalyst estimates each table's bytes (the figures are those of the files)."""
+    views(spark, sf_dir)
+    return spark.createDataFrame([(t, (search.table_bytes(spark, t) or 0) > 0) for t in TABLES], "table_name string, known boolean")
+
+
+@query("""SELECT * FROM (VALUES ('exchange_count', 3.0::DOUBLE), ('broadcast_exchange_count', 1.0), ('bhj_count', 1.0), ('smj_count', 1.0), ('shj_count', 0.0), ('scan_bytes', 1000000.0), ('shuffle_bytes', 800000.0), ('broadcast_join_sizes', 150000.0)) AS t(feature, v)""")
+def vector_of_a_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of a real plan (one broadcast and one merge join) whose scanned bytes are told; sizes not told follow from them."""
+    sql = "SELECT /*+ BROADCAST(n), MERGE(o, c) */ o.o_orderkey, n.n_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey"
+    views(spark, sf_dir, sql)
+    with temporary_conf(spark, HINTS_OFF):
+        v = plantext.vector_of(alternatives.plan_text(spark, sql), {"scan_bytes": 1e6})
+    if tuple(v) != tuple(plantext.VECTOR):
+        raise ValueError("the vector's order changed")
+    names = "exchange_count broadcast_exchange_count bhj_count smj_count shj_count scan_bytes shuffle_bytes broadcast_join_sizes".split()
+    return spark.createDataFrame([(n, float(v[n])) for n in names], "feature string, v double")
+
+
 # Sinks ----------------------------------------------------------------------------------------------
 
 
@@ -202,6 +259,47 @@ def sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(len(collected), orders.count(), seen.get["n"])], "n_collected long, n_counted long, n_written long")
 
 
+@query("""SELECT * FROM (VALUES ('execution log', 2::BIGINT, 'ok,simulated'), ('measurement cache', 3, 'q1,q2'), ('model store', 2, '1,2'), ('run info', 1, 'seed'), ('profile', 2, 'local[2],7')) AS t(sink, n, holds)""")
+def driver_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small files that the driver keeps for itself: execution log, measurements, models, run information and profiles, written and read back."""
+    import json
+    import os
+    import tempfile
+
+    from costplan.operators import calibration
+    from costplan.sources import profiles
+
+    found = []
+    with tempfile.TemporaryDirectory() as folder:
+        log = logs.JsonLog(f"{folder}/runs.jsonl")
+        runner.Executor(spark, log=log).execute(runner.PlanToRun("Q", "P", "SELECT 1"))
+        runner.Executor(None, log=log).execute(runner.PlanToRun("Q", "P", "SELECT 1"))
+        with open(log.path) as f:
+            lines = [json.loads(line) for line in f]
+        found.append(("execution log", len(lines), ",".join(sorted(r["status"] for r in lines))))
+        cache = logs.MeasurementCache(f"{folder}/cache")
+        cache.save("q1", [{"query_id": "q1", "plan_id": "a"}, {"query_id": "q1", "plan_id": "b"}])
+        cache.save("q2", [{"query_id": "q2", "plan_id": "a"}])
+        runs = []
+        for q in ("q1", "q2"):
+            with open(cache._file(q)) as f:
+                runs += json.load(f)
+        found.append(("measurement cache", len(runs), ",".join(q for q in ("q1", "q2", "q3") if cache.has(q))))
+        models = [calibration.save_model(f"{folder}/models", "m", {"w": w}) for w in (1, 2)]
+        found.append(("model store", len(models), ",".join(str(calibration.load_model(m)["w"]) for m in models)))
+        logs.write_run_info(spark, f"{folder}/info.json", {"seed": 7})
+        with open(f"{folder}/info.json") as f:
+            found.append(("run info", 1, ",".join(json.load(f)["arguments"])))
+        with open(f"{folder}/profiles.yaml", "w") as f:
+            f.write("shared:\n  seed: 7\nprofiles:\n  small:\n    master: local[2]\n  other: {}\n")
+        told = profiles.load_environment(f"{folder}/profiles.yaml", "small")
+        found.append(("profile", 2, f"{told.master},{told.seed}"))
+        left = len(os.listdir(folder))
+    if left != 5:
+        raise ValueError(f"{left} files")
+    return spark.createDataFrame(found, "sink string, n long, holds string")
+
+
 # Execution ------------------------------------------------------------------------------------------
 
 HINTS_OFF = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.cbo.joinReorder.enabled": "false"}

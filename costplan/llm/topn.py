@@ -123,15 +123,15 @@ def _heads(rows: pd.DataFrame, n: int) -> pd.DataFrame:
     return _plain(rows[rows.groupby("g").cumcount() < n])
 
 
-def _read(spots: DataFrame, n: int, schema) -> DataFrame:
-    """The best rows of the row groups (path, k, best, limit), a task per file."""
+def _read(spots: DataFrame, n: int, schema, tasks: int) -> DataFrame:
+    """The best rows of the row groups (path, k, best, limit); files are dealt to `tasks` tasks, as their names are too small for Spark to tell the work."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, ks, bests, limits in zip(batch["path"], batch["k"], batch["best"], batch["limit"]):
                 yield from best_rows(path, list(zip(ks, bests, limits)), n)
 
-    by_file = spots.groupBy("path").agg(*[F.collect_list(F.struct("k", "best", "limit")).alias("s")])
+    by_file = spots.repartition(tasks, "path").groupBy("path").agg(*[F.collect_list(F.struct("k", "best", "limit")).alias("s")])
     return by_file.select("path", *[F.col(f"s.{c}").alias(c) for c in ("k", "best", "limit")]).mapInPandas(scan, schema)
 
 
@@ -164,17 +164,18 @@ def top_n_and_reads(df: DataFrame, group: Sequence[str], item: str, score: Colum
     stored = spark.read.parquet(path)
     files = stored.inputFiles()
     kind = stored.schema["g"].dataType.simpleString()
-    listed = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(len(files), 1))
+    tasks = min(max(len(files), 1), 20_000)
+    listed = spark.createDataFrame([(f,) for f in files], "path string").repartition(tasks)
     parts = written(footers(listed, kind), "footers")
     unknown = F.lit(float("nan")).alias("limit")
     several = parts.where("g is null").select("path", "k", "best", unknown)
     first = parts.where("g is not null").groupBy("g").agg(F.min(F.struct("best", "path", "k")).alias("f"))
     heads = first.select("f.path", "f.k", "f.best", unknown)
-    one = written(_read(several.union(heads), n, stored.schema), "heads")
+    one = written(_read(several.union(heads), n, stored.schema, tasks), "heads")
     # The N-th scores of the groups that fill row groups alone; they are few beside the rows.
     nth = _ranked(_once(one.join(first.select("g"), "g", "left_semi")), n).where(F.col("rank") == n).select("g", F.col("score").alias("limit"))
     rest = parts.where("g is not null").join(heads.select("path", "k"), ["path", "k"], "left_anti").join(nth, "g", "left")
     wanted = rest.where(F.col("limit").isNull() | (F.col("best") <= F.col("limit"))).select("path", "k", "best", F.coalesce("limit", unknown).alias("limit"))
-    two = _read(wanted, n, stored.schema)
+    two = _read(wanted, n, stored.schema, tasks)
     reads = several.union(heads).union(wanted).select("path", "k", F.lit(True).alias("is_read"))
     return _ranked(_once(one.union(two)), n), parts.join(reads, ["path", "k"], "left").withColumn("is_read", F.coalesce("is_read", F.lit(False)))

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from costplan.session import new_path
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -44,7 +46,9 @@ def register(spark: SparkSession, base: str, tables: Sequence[str] | None = None
         if mode == "view":
             spark.read.parquet(path).createOrReplaceTempView(n)
         else:
-            spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+            # The tables are external; the database's own folder stays empty and lies in the shared folder.
+            if not spark.catalog.databaseExists(database):
+                spark.sql(f"CREATE DATABASE {database} LOCATION '{new_path(spark, database)}'")
             spark.sql(f"DROP TABLE IF EXISTS {database}.{n}")
             spark.catalog.createTable(f"{database}.{n}", path=path, source="parquet")
     return names

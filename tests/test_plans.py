@@ -1,10 +1,12 @@
 import math
 
 import pytest
+from helpers import assert_same, connect
 
 from costplan.plans import alternatives, plantext, search
 from costplan.plans.shape import QueryRequest, shape
 from costplan.plans.statistics import plan_statistics
+from costplan.session import temporary_conf
 
 CHAIN = "SELECT COUNT(*) AS n FROM a JOIN b ON a.id = b.a_id JOIN c ON b.id = c.b_id JOIN d ON c.id = d.c_id"
 
@@ -135,3 +137,27 @@ def test_equivalence_queries_run_every_variant(spark, sf, monkeypatch):
         assert [t for t in run if t in set(want)] == want, name
         # All of them are left after optimisation.
         assert df._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == len(want) * sql.count(" JOIN "), name
+
+
+def test_broadcast_hints_name_only_what_the_driver_can_hold(spark, sf, chain, monkeypatch):
+    from costplan import catalogue
+
+    hints = {v.label: v.sql.partition("*/")[0] for v in alternatives.variants(chain, small={"b", "d"}) if v.label.endswith("broadcast")}
+    assert hints["broadcast"].endswith("BROADCAST(b) ") and hints["join_order_b_a_c_d_broadcast"].endswith("BROADCAST(b, d) ")
+    assert [v.label for v in alternatives.variants(chain, small=())] == [v.label for v in alternatives.variants(chain)]
+    assert not any("BROADCAST" in v.sql for v in alternatives.variants(chain, small=()))
+    # 8 GB of keys.
+    spark.range(10**9).createOrReplaceTempView("wide")
+    sql = CHAIN.replace("FROM a JOIN b ON a.id", "FROM wide JOIN b ON wide.id")
+    assert alternatives.broadcastable(spark, shape(spark, sql)) == {"b", "c", "d"}
+    with temporary_conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        named = [c.sql.partition("BROADCAST(")[2].partition(")")[0] for c in alternatives.candidates(spark, QueryRequest("Q", sql, 1.0))]
+    assert any(named) and not any("wide" in n for n in named)
+
+    monkeypatch.setattr(alternatives, "MOST_BROADCAST", 10_000)
+    with temporary_conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        df = catalogue.flagship(spark, sf)
+        text = df._jdf.queryExecution().executedPlan().toString()
+        # Customer and nation; orders and lineitem are joined by a shuffle.
+        assert text.count("BroadcastExchange") == 2 and text.count("SortMergeJoin") + text.count("ShuffledHashJoin") == 1, text
+        assert_same(df.toPandas(), connect(sf).execute(catalogue.FLAGSHIP).df())

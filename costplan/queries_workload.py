@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from costplan.functions import family_of
 from costplan.operators.ordered import latest_upto
 from costplan.plans import alternatives, plantext, search
 from costplan.plans.shape import shape
-from costplan.session import table
+from costplan.session import table, temporary_conf, written
 from costplan.sources import logs, star, workload
 
 QUERIES: dict = {}
@@ -159,17 +161,24 @@ _FOUR = "SELECT cn.n_name, COUNT(*) AS n_items, CAST(SUM(CAST(l.l_extendedprice
 _SIX = "SELECT COUNT(*) AS n_items, CAST(SUM(CAST(l.l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) AS revenue FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation cn ON c.c_nationkey = cn.n_nationkey JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN part p ON l.l_partkey = p.p_partkey WHERE p.p_size > 10"
 
 
-def _equivalent(sql: str, mode: str, width: int):
-    """Runs every variant and keeps the distinct rows: one result if the rewrites are right."""
+def _equivalent(sql: str, mode: str, width: int, together: str = "order"):
+    """Runs every variant and keeps the distinct rows: one result if the rewrites are right.
+
+    Relations of up to 1 MiB make one job. Beyond it the variants that agree in `together` are run and their rows written before
+    the next ones, so that driver and disk never hold the broadcasts and shuffles of all.
+    """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir, sql)
-        found = alternatives.variants(shape(spark, sql), mode, width)
+        parsed = shape(spark, sql)
+        found = alternatives.variants(parsed, mode, width, small=alternatives.broadcastable(spark, parsed))
         # The mark keeps Spark from dropping variants that differ in hints only as equal children of the union.
         results = [spark.sql(v.sql).withColumn("__variant", F.lit(i)) for i, v in enumerate(found)]
-        out = results[0]
-        for r in results[1:]:
-            out = out.unionByName(r)
+        if len(alternatives.broadcastable(spark, parsed, 1 / 32)) < len(parsed.aliases):
+            groups = [[r for r, _ in g] for _, g in groupby(zip(results, found), lambda x: getattr(x[1], together))]
+            with temporary_conf(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": True}):
+                results = [written(reduce(DataFrame.unionByName, g), "variants") for g in groups]
+        out = reduce(DataFrame.unionByName, results)
         rows = [c for c in out.columns if c != "__variant"]
         return out.groupBy(*rows).agg(F.max("__variant").alias("__variant")).where("__variant >= 0").select(*rows)
 

@@ -161,3 +161,19 @@ def test_broadcast_hints_name_only_what_the_driver_can_hold(spark, sf, chain, mo
         # Customer and nation; orders and lineitem are joined by a shuffle.
         assert text.count("BroadcastExchange") == 2 and text.count("SortMergeJoin") + text.count("ShuffledHashJoin") == 1, text
         assert_same(df.toPandas(), connect(sf).execute(catalogue.FLAGSHIP).df())
+
+
+@pytest.mark.parametrize(("name", "jobs"), [("join_order_equivalence", 8)])
+def test_equivalence_over_relations_too_large_for_a_broadcast(spark, sf, monkeypatch, name, jobs):
+    from costplan import queries_workload as q
+
+    monkeypatch.setattr(alternatives, "MOST_BROADCAST", 10_000)
+    run, parts, sql, written = [], [], type(spark).sql, q.written
+    monkeypatch.setattr(type(spark), "sql", lambda self, text, *a, **k: (run.append(text), sql(self, text, *a, **k))[1])
+    monkeypatch.setattr(q, "written", lambda df, *a: (parts.append(written(df, *a)), parts[-1])[1])
+    got = q.QUERIES[name](spark, sf).toPandas()
+    hints = [t.partition("BROADCAST(")[2].partition(")")[0].split(", ") for t in run]
+    assert any("cn" in h for h in hints) and not any({"l", "o"} & set(h) for h in hints)
+    # Every variant has its rows in one of the parts.
+    assert len(parts) == jobs and sorted({r[0] for p in parts for r in p.select("__variant").collect()}) == list(range(len(run)))
+    assert_same(got, connect(sf).execute(q.ORACLE[name]).df())

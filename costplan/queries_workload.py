@@ -186,7 +186,7 @@ def _equivalent(sql: str, mode: str, width: int, together: str = "order"):
 
 
 query(_FOUR, "join_order_equivalence")(_equivalent(_FOUR, "exhaustive", 0))
-query(_SIX, "beam_variants_equivalence")(_equivalent(_SIX, "beam", 3))
+query(_SIX, "beam_variants_equivalence")(_equivalent(_SIX, "beam", 3, "label"))
 
 EDGES = (("l", "o"), ("o", "c"), ("c", "n"), ("l", "s"))
 _EDGE_SQL = "e(a,b) AS (VALUES " + ",".join(f"('{a}','{b}')" for a, b in EDGES) + "), d AS (SELECT a,b FROM e UNION SELECT b,a FROM e)"

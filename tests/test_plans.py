@@ -163,7 +163,7 @@ def test_broadcast_hints_name_only_what_the_driver_can_hold(spark, sf, chain, mo
         assert_same(df.toPandas(), connect(sf).execute(catalogue.FLAGSHIP).df())
 
 
-@pytest.mark.parametrize(("name", "jobs"), [("join_order_equivalence", 8)])
+@pytest.mark.parametrize(("name", "jobs"), [("join_order_equivalence", 8), ("beam_variants_equivalence", 16)])
 def test_equivalence_over_relations_too_large_for_a_broadcast(spark, sf, monkeypatch, name, jobs):
     from costplan import queries_workload as q
 
